@@ -126,6 +126,7 @@ def non_empty_columns(df: DataFrame) -> list[str]:
 def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Type, kind, filled and distinct values of every column."""
     count = F.approx_count_distinct if approximate else F.count_distinct
+    texts = string_columns(df)
     counted = df.agg(
         *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)],
         *[count(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(df.columns)],
@@ -134,7 +135,7 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
         (
             F.lit(f.name),
             F.lit(f.dataType.simpleString()),
-            F.lit("numeric" if is_numeric(f.dataType) else "other" if f.name not in string_columns(df) else "text"),
+            F.lit("numeric" if is_numeric(f.dataType) else "text" if f.name in texts else "other"),
             F.col(f"n{i}"),
             F.col(f"d{i}"),
         )
@@ -143,28 +144,18 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     return one_row_to_long(counted, rows, ["column", "data_type", "kind", "n_filled", "n_distinct"])
 
 
-def type_summary(df: DataFrame) -> DataFrame:
-    """Columns per data type."""
-    return column_types(df).groupBy("data_type").agg(F.count("*").alias("n_columns"))
+def type_summary(profile: DataFrame) -> DataFrame:
+    """Columns per data type of a column profile."""
+    return profile.groupBy("data_type").agg(F.count("*").alias("n_columns"))
 
 
-def kind_counts(df: DataFrame) -> DataFrame:
-    """Numbers of numeric and of text columns."""
-    return column_types(df).agg(
+def kind_counts(profile: DataFrame) -> DataFrame:
+    """Numbers of numeric and of text columns of a column profile."""
+    return profile.agg(
         F.count_if(F.col("kind") == "numeric").alias("n_numeric"), F.count_if(F.col("kind") == "text").alias("n_text")
     )
 
 
-def column_types(df: DataFrame) -> DataFrame:
-    """Name, type and kind of every column, known from the schema without reading a row."""
-    texts = string_columns(df)
-    rows = [
-        (f.name, f.dataType.simpleString(), "numeric" if is_numeric(f.dataType) else "text" if f.name in texts else "other")
-        for f in df.schema
-    ]
-    return df.sparkSession.createDataFrame(rows, "column string, data_type string, kind string")
-
-
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every column pair over the rows that have both values, in one pass."""
     names = list(columns) if columns is not None else numeric_columns(df)
