@@ -86,9 +86,10 @@ def filterable_categoricals(spark, folder):
 
 @query(
     on_items(
-        "SELECT count(*) AS total, count(CASE WHEN market IN ('ASIA', 'EUROPE') AND sales BETWEEN 10000 AND 90000 THEN 1 END) AS kept, "
-        "count(CASE WHEN market IN ('ASIA', 'EUROPE') AND sales BETWEEN 10000 AND 90000 THEN 1 END) * 100.0 / count(*) AS ratio FROM items"
-    ).replace("* 100.0 / count(*)", "* CAST(100 AS DOUBLE) / count(*)")
+        "SELECT count(*) AS total, count(CASE WHEN hit THEN 1 END) AS kept, "
+        "count(CASE WHEN hit THEN 1 END) * CAST(100 AS DOUBLE) / count(*) AS ratio "
+        "FROM (SELECT market IN ('ASIA', 'EUROPE') AND sales BETWEEN 10000 AND 90000 AS hit FROM items)"
+    )
 )
 def filter_ratio(spark, folder):
     """F5"""
