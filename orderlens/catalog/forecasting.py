@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -84,7 +84,7 @@ def z_scores(spark, folder):
 )
 def trailing_means(spark, folder):
     """Missing values are skipped inside the window."""
-    items = order_items(spark, folder, _VIEW)
+    items = order_items(spark, folder, list(dict.fromkeys([*ITEM_ORDER, *NUMERIC])))
     table = items.withColumn("gappy", F.when(F.col("days_sched") != 3, F.col("quantity")))
     means = ordered.trailing_mean(table, [*NUMERIC, "gappy"], ITEM_ORDER)
     names = [f"{c}_ma" for c in [*NUMERIC, "gappy"]]
@@ -222,9 +222,8 @@ def select_best_features(spark, folder):
     """M6: the three best of five by F score."""
     items = order_items(spark, folder, [*NUMERIC, "sales"])
     rows = VectorAssembler(inputCols=NUMERIC, outputCol="features").transform(items)
-    selector = UnivariateFeatureSelector(featuresCol="features", labelCol="sales", outputCol="best")
-    selector.setFeatureType("continuous").setLabelType("continuous").setSelectionThreshold(3)
-    picked = [NUMERIC[i] for i in selector.fit(rows).selectedFeatures]
+    selector = preparation.best_features("features", "sales", "best", 3).fit(rows)
+    picked = [NUMERIC[i] for i in selector.selectedFeatures]
     return items.agg(F.count("*").alias("n")).select(F.explode(F.array(*[F.lit(c) for c in picked])).alias("feature"), "n")
 
 

@@ -177,7 +177,8 @@ def fit_preparation(
 
     With ``trailing`` the rows must carry the trailing means (``*_ma``), which need the order
     of the whole table and are therefore computed before. Quartiles for imputing and scaling
-    come from one bounded sketch pass, or are exact on request.
+    come from one bounded sketch pass, or are exact on request. The F scores are computed only
+    if there are more than ``best`` features to choose from.
     """
     stages = [_row_feature_stage(numeric, categorical)]
     rows = stages[0].transform(train)
@@ -209,14 +210,21 @@ def fit_preparation(
         stages += [indexer, encoder]
         encoded = [f"{c}_onehot" for c in categorical]
 
-    assembler = VectorAssembler(inputCols=[*encoded, *[f"{c}_scaled" for c in names]], outputCol="all_features")
-    rows = assembler.transform(rows)
+    inputs = [*encoded, *[f"{c}_scaled" for c in names]]
+    assembled = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows)
+    if len(feature_names(assembled)) <= best:
+        return PipelineModel([*stages, VectorAssembler(inputCols=inputs, outputCol="features")])
+    assembler = VectorAssembler(inputCols=inputs, outputCol="all_features")
+    selector = best_features("all_features", target, "features", best).fit(assembler.transform(rows))
+    return PipelineModel([*stages, assembler, selector])
+
+
+def best_features(features: str, target: str, output: str, best: int) -> UnivariateFeatureSelector:
+    """The ``best`` features by univariate linear F score."""
     selector = UnivariateFeatureSelector(
-        featuresCol="all_features", labelCol=target, outputCol="features", selectionMode="numTopFeatures"
+        featuresCol=features, labelCol=target, outputCol=output, selectionMode="numTopFeatures"
     )
-    selector.setFeatureType("continuous").setLabelType("continuous").setSelectionThreshold(best)
-    stages += [assembler, selector.fit(rows)]
-    return PipelineModel(stages)
+    return selector.setFeatureType("continuous").setLabelType("continuous").setSelectionThreshold(best)
 
 
 def _check_categories(df: DataFrame, categorical: Sequence[str]) -> None:
@@ -227,16 +235,8 @@ def _check_categories(df: DataFrame, categorical: Sequence[str]) -> None:
         raise ValueError(f"too many distinct values for one-hot encoding: {large}")
 
 
-def keep_for_models(prepared: DataFrame, target: str, also: Sequence[str] = ()) -> DataFrame:
-    """Only what fitting and scoring read: the vector, the target and named columns."""
-    return prepared.select("features", target, *also)
-
-
 def feature_names(prepared: DataFrame) -> list[str]:
-    """Names of the vector's entries in order, from the metadata the encoder and assembler attach.
-
-    The selector keeps the attributes of the entries it picks.
-    """
+    """Names of the vector's entries in order, from the attributes that encoder, assembler and selector attach."""
     attributes = prepared.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
     entries = [a for kind in attributes.values() for a in kind]
     return [a.get("name", f"feature_{a['idx']}") for a in sorted(entries, key=lambda a: a["idx"])]

@@ -8,13 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str | int = "*", app: str = "orderlens", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(
+    cores: str | int = "*", app: str = "orderlens", shuffle_partitions: int = 8, broadcast: str = "10MB"
+) -> SparkSession:
     """Session for tests and the bench; on a cluster the caller brings its own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.autoBroadcastJoinThreshold", broadcast)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")

@@ -57,10 +57,12 @@ def order_items(
     """Order items with the asked columns, reading only the tables these columns need.
 
     The dimension keys are unique, so a left join neither drops nor doubles an order line;
-    leaving out an unused dimension therefore changes nothing but the cost. A filter on a
-    dimension column lets Catalyst turn its join into an inner one. No join carries a
-    broadcast hint: Spark broadcasts a dimension only where its size is below the session's
-    threshold, and adaptive execution splits hot keys of the shuffled ones.
+    leaving out an unused dimension therefore changes nothing but the cost. Customers, nations
+    and regions are joined to the orders first, so that the order lines are shuffled once by
+    order and never by customer. A filter on a dimension column lets Catalyst turn its join
+    into an inner one and reaches the dimension's scan. No join carries a broadcast hint:
+    Spark broadcasts a dimension only where its size is below the session's threshold, and
+    adaptive execution splits hot keys of the shuffled ones.
     """
     wanted = list(columns) if columns is not None else ITEM_COLUMNS
     unknown = [c for c in wanted if c not in _DEFINITIONS]
@@ -77,11 +79,15 @@ def order_items(
     rows = spark.read.parquet(f"{folder}/lineitem.parquet")
     if "row_id" in wanted:
         rows = rows.withColumn("row_id", _DEFINITIONS["row_id"][1]())
-    for table, (_, outer_key, own_key) in _LINKS.items():
-        if table in needed:
-            dimension = spark.read.parquet(f"{folder}/{table}.parquet")
-            rows = rows.join(dimension, F.col(outer_key) == F.col(own_key), "left")
-    result = rows.select(
+
+    def attach(base: DataFrame, name: str | None) -> DataFrame:
+        for table, (parent, outer_key, own_key) in _LINKS.items():
+            if parent == name and table in needed:
+                dimension = attach(spark.read.parquet(f"{folder}/{table}.parquet"), table)
+                base = base.join(dimension, F.col(outer_key) == F.col(own_key), "left")
+        return base
+
+    result = attach(rows, None).select(
         *[F.col(name) if name == "row_id" else _DEFINITIONS[name][1]().alias(name) for name in wanted]
     )
     return nan_to_null(result) if clean_nan else result

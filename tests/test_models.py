@@ -125,6 +125,14 @@ def test_unknown_and_missing_values_get_zeros(spark, small, prepared):
     assert len(values) == len(prepared.names)
 
 
+def test_only_the_best_features_are_kept(prepared):
+    train = prepared.rows.where("split = 'train'")
+    few = preparation.fit_preparation(train, trailing=False, best=6)
+    names = preparation.feature_names(few.transform(train))
+    assert len(names) == 6 and set(names) <= set(prepared.names)
+    assert any("sales_per_customer" in n for n in names)
+
+
 def test_forecaster_round_trip_and_stream(spark, small, prepared, tmp_path):
     train = prepared.part("train").select("features", TARGET, "fold").persist()
     fitted = models.fit_forecaster(train, prepared.part("validation"), LINEAR, sizes=TINY, primary="ridge")

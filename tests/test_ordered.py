@@ -130,12 +130,12 @@ def test_resilience_equals_numpy(spark):
 @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 @given(
     values=st.lists(st.one_of(st.none(), st.integers(-5, 5), st.floats(-1e6, 1e6)), min_size=1, max_size=80),
-    accuracy=st.sampled_from([8, 50]),
+    size=st.sampled_from([8, 200]),
 )
-def test_exact_quantiles_equal_numpy(spark, values, accuracy):
+def test_exact_quantiles_equal_numpy(spark, values, size):
     df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "x double")
     probabilities = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = exact_quantiles(df, ["x"], probabilities, accuracy=accuracy, small=3)["x"]
+    got = exact_quantiles(df, ["x"], probabilities, size=size, slack=0.05, small=3)["x"]
     filled = [v for v in values if v is not None]
     if filled:
         np.testing.assert_allclose(got, np.quantile(filled, probabilities), rtol=1e-12, atol=1e-9)
@@ -148,11 +148,11 @@ def test_exact_quantiles_with_hot_values(spark):
     df = ids.select(F.when(F.col("id") % 3 == 0, 500.0).otherwise(F.col("id") * 0.1).alias("x"), F.lit(2.0).alias("c"))
     values = df.toPandas()["x"]
     probabilities = [0.01, 0.25, 0.5, 0.75, 0.99]
-    got = exact_quantiles(df, ["x", "c"], probabilities, accuracy=30, small=20)
+    got = exact_quantiles(df, ["x", "c"], probabilities, size=20, slack=0.02, small=20)
     np.testing.assert_allclose(got["x"], np.quantile(values, probabilities))
     assert got["c"] == [2.0] * 5
 
 
 def test_approximate_quantiles(items, frame):
     got = approximate_quantiles(items, ["sales"], [0.5])["sales"][0]
-    assert abs((frame["sales"] <= got).mean() - 0.5) < 1e-3
+    assert abs((frame["sales"] <= got).mean() - 0.5) < 2e-3
