@@ -133,24 +133,29 @@ def _join_skewed(
     """Left join on a column of which some values may hold a large share of the rows.
 
     Rows of hot values are served by a broadcast of these few values. They take part in the
-    shuffled join only with a NULL key and a salt from other columns, so they spread evenly;
-    the salt depends on nothing but the row, so a repeated task sends it to the same place.
+    shuffled join only with a NULL key and a salt from other columns, so they spread evenly.
+    All other rows are salted by their value on both sides: a constant salt would be taken
+    out of the join keys by the optimizer, and all NULL keys would meet in one task. A salt
+    depends on nothing but the row, so a repeated task sends it to the same place.
     """
+    number = F.col(f"`{name}`").cast("double") + 0.0  # makes -0.0 and 0.0 one value
     hot = table.where(F.col("_rows") >= hot_rows).select(F.col("_value").alias("_hot"), F.col(out).alias("_hot_out"))
     cold = table.where(F.col("_rows") < hot_rows).select(
-        F.col("_value").alias("_cold"), F.lit(0).alias("_cold_salt"), F.col(out).alias("_cold_out")
+        F.col("_value").alias("_cold"), _salt(F.col("_value") + 0.0).alias("_cold_salt"), F.col(out).alias("_cold_out")
     )
-    open_row = F.col("_hot").isNull() & F.col(f"`{name}`").isNotNull()
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread_by]), F.lit(SALTS)).cast("int") + 1
-    keyed = df.join(F.broadcast(hot), F.col(f"`{name}`") == F.col("_hot"), "left").withColumns(
-        {"_key": F.when(open_row, F.col(f"`{name}`").cast("double")), "_salt": F.when(open_row, 0).otherwise(spread)}
-    )
-    joined = keyed.join(
-        cold, (F.col("_key") == F.col("_cold")) & (F.col("_salt") == F.col("_cold_salt")), "left"
+    open_row = F.col("_hot").isNull() & number.isNotNull()
+    spread = _salt(*[F.col(f"`{c}`") for c in spread_by]) + SALTS
+    keyed = df.join(F.broadcast(hot), number == F.col("_hot"), "left").withColumns(
+        {"_key": F.when(open_row, number), "_salt": F.when(open_row, _salt(number)).otherwise(spread)}
     )
+    joined = keyed.join(cold, (F.col("_key") == F.col("_cold")) & (F.col("_salt") == F.col("_cold_salt")), "left")
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("_hot_out", "_cold_out").alias(out))
 
 
+def _salt(*columns: Column) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
 def trailing_window(rows: int, largest: int = 50) -> int:
     """Rows of the trailing mean: a twentieth of the table, at most ``largest`` and at least one."""
     return max(1, min(largest, rows // 20))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,30 +76,27 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = F
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Count, mean, sample deviation, minimum, exact quartiles and maximum per numeric column."""
+    """Count, mean, sample deviation, minimum, exact quartiles and maximum per numeric column.
+
+    The columns are kept while the passes of the quartiles and the aggregate read them; the
+    result is one line per column.
+    """
     names = list(columns) if columns is not None else numeric_columns(df)
-    quartiles = exact_quantiles(df, names, [0.25, 0.5, 0.75])
-    parts = {
-        "n": F.count,
-        "mean": F.avg,
-        "std": F.stddev_samp,
-        "min": lambda c: F.min(c).cast("double"),
-        "max": lambda c: F.max(c).cast("double"),
-    }
-    row = df.agg(*[f(F.col(f"`{c}`")).alias(f"{k}_{i}") for i, c in enumerate(names) for k, f in parts.items()])
-    rows = [
-        (
-            F.lit(c),
-            F.col(f"n_{i}"),
-            F.col(f"mean_{i}"),
-            F.col(f"std_{i}"),
-            F.col(f"min_{i}"),
-            *[F.lit(q).cast("double") for q in quartiles[c]],
-            F.col(f"max_{i}"),
-        )
+    kept = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in names]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        quartiles = exact_quantiles(kept, names, [0.25, 0.5, 0.75], keep=False)
+        parts = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+        row = kept.agg(
+            *[f(F.col(f"`{c}`")).alias(f"{k}_{i}") for i, c in enumerate(names) for k, f in parts.items()]
+        ).first()
+    finally:
+        kept.unpersist()
+    lines = [
+        (c, *[row[f"{k}_{i}"] for k in ("n", "mean", "std", "min")], *quartiles[c], row[f"max_{i}"])
         for i, c in enumerate(names)
     ]
-    return one_row_to_long(row, rows, ["column", "n", "mean", "std", "min", "q25", "q50", "q75", "max"])
+    kinds = ", ".join(f"{k} double" for k in ("mean", "std", "min", "q25", "q50", "q75", "max"))
+    return df.sparkSession.createDataFrame(lines, f"column string, n bigint, {kinds}")
 
 
 def missing_report(df: DataFrame) -> DataFrame:

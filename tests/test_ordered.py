@@ -8,7 +8,7 @@ from orderlens.columns import ITEM_ORDER, NUMERIC
 from orderlens.operators import paging
 from orderlens.operators.evaluation import resilience
 from orderlens.operators.features import statistical_features, zscores
-from orderlens.operators.ordered import dense_index, percentile_rank, trailing_mean, trailing_window
+from orderlens.operators.ordered import _in_order, dense_index, percentile_rank, trailing_mean, trailing_window
 from orderlens.operators.quantiles import approximate_quantiles, exact_quantiles
 
 
@@ -23,6 +23,8 @@ def test_dense_index_splits_a_hot_leading_value(spark):
     indexed = dense_index(rows, ["day", "id"], partitions=8)
     want = rows.toPandas().sort_values(["day", "id"])["id"].tolist()
     assert indexed.orderBy("idx").toPandas()["id"].tolist() == want
+    sizes = _in_order(rows, ["day", "id"], 8).groupBy("_part").count().toPandas()["count"]
+    assert sizes.max() < 2 * sizes.mean()
 
 
 def test_dense_index_of_an_empty_table(spark):
@@ -42,6 +44,25 @@ def test_percentile_rank_equals_pandas(spark, broadcast_values, hot_share):
         np.testing.assert_allclose(got[f"{c}_percentile"], got[c].rank(pct=True), rtol=1e-12)
 
 
+def test_hot_rows_are_spread_by_the_shuffled_join(spark):
+    """A third of the rows hold one value and a fifth none: no task may get such a group whole."""
+    x = F.when(F.col("id") % 3 == 0, -0.0).when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.col("id") * 1.0)
+    df = spark.range(0, 60_000, 1, 8).select("id", x.alias("x"))
+    ranked = percentile_rank(df, ["x"], broadcast_values=10, hot_share=0.01, partitions=8)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "hashpartitioning" in line and "_key" in line]
+    assert len(shuffles) == 1 and "_salt" in shuffles[0].split("hashpartitioning")[1]
+    got = ranked.toPandas()
+    np.testing.assert_allclose(got["x_percentile"], got["x"].rank(pct=True), rtol=1e-12)
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = ranked.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+        assert sizes.max() < 1.4 * sizes.mean()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_percentile_rank_without_values(spark):
     df = spark.createDataFrame([(1, None), (2, float("nan"))], "id int, x double")
     assert [r["x_percentile"] for r in percentile_rank(df, ["x"]).collect()] == [None, None]
