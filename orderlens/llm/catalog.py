@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import language, simhash
+from orderlens.llm import language, ppm, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": language.op4_language_id,
     "op6_simhash": simhash.op6_simhash,
+    "op9_ppm": ppm.op9_ppm,
 }
 
 #: DuckDB twins. The operators learn, align or iterate; none of them is one SQL statement, so each
