@@ -48,24 +48,22 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANK, -1))
 
 
-def bounded_sample(rows: DataFrame, stratum: str, per_stratum: int, *key: str) -> DataFrame:
+def bounded_sample(rows: DataFrame, stratum: str, per_stratum: int, *key: str, most_strata: int = 1000) -> DataFrame:
     """At most ``per_stratum`` rows of each stratum, those with the smallest hash of ``key``.
 
-    Rows far from the limit are sieved out before the ranking, so that the ranking of a stratum
-    is never over more than a few times ``per_stratum`` rows.
+    For few strata (labels, languages). Rows far from the limit are sieved out where they are read,
+    so that the ranking of a stratum is over little more than ``per_stratum`` rows.
     """
-    counts = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("rows_"))
-    sieved = (
-        rows.join(counts, stratum)
-        .withColumn("share_", share(*[F.col(k) for k in key]))
-        .where(F.col("share_") * F.col("rows_") < 1.5 * per_stratum + 50)
-    )
+    sizes = rows.groupBy(stratum).count().limit(most_strata + 1).collect()
+    if len(sizes) > most_strata:
+        raise ValueError(f"more than {most_strata} strata")
+    sieve = F.lit(False)
+    for value, n in sizes:
+        sieve = F.when(F.col(stratum).eqNullSafe(F.lit(value)), F.col("share_") * n < 1.5 * per_stratum + 50).otherwise(sieve)
+    sieved = rows.withColumn("share_", share(*[F.col(k) for k in key])).where(sieve)
     order = Window.partitionBy(stratum).orderBy("share_", *key)
-    return (
-        sieved.withColumn("rank_", F.row_number().over(order))
-        .where(F.col("rank_") <= per_stratum)
-        .drop("share_", "rows_", "rank_")
-    )
+    ranked = sieved.withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= per_stratum)
+    return ranked.drop("share_", "rank_")
 
 
 def scored(docs: DataFrame, text_col: str, result: str, function, **extra: Column) -> DataFrame:
