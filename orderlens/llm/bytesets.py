@@ -16,6 +16,11 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 BLANKS = np.zeros(256, bool)
 BLANKS[[9, 10, 11, 12, 13, 32]] = True
 
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[:128] = 32
+FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
+FOLD[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
+
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the texts one after another, and the limits of each; a null is an empty text."""
@@ -30,6 +35,15 @@ def encoded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return text_bytes(pa.array(texts, pa.string()))
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """Lower case for ASCII and for the capital Latin letters after the lead byte C3."""
+    out = FOLD[data]
+    if len(data) > 1:
+        capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        out[1:][capital] += 0x20
+    return out
+
+
 def runs(limits: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs of documents of about ``RUN_BYTES``, or one longer document."""
     first, last = 0, len(limits) - 1
