@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import language, ppm, simhash
+from orderlens.llm import language, ppm, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": quality.op1_quality,
     "op4_language_id": language.op4_language_id,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_simhash": simhash.op6_simhash,
     "op9_ppm": ppm.op9_ppm,
 }
