@@ -91,16 +91,26 @@ def word_limits(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
+STEP, BACK = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 1 to base ** n, modulo 2 ** 64; kept for runs of usual size."""
+    if n > 2 * RUN_BYTES:
+        return np.multiply.accumulate(np.full(n, base, np.uint64))
+    if len(_powers.get(base, ())) < n:
+        _powers[base] = np.multiply.accumulate(np.full(2 * RUN_BYTES, base, np.uint64))
+    return _powers[base][:n]
+
+
 def word_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit number for each word, the same for the same bytes, by a rolling polynomial."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    base, back = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
-    up = np.multiply.accumulate(np.full(len(data), base, np.uint64))
-    down = np.multiply.accumulate(np.full(len(data), back, np.uint64))
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-    code = (total[end] - total[start]) * down[start]
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(STEP, len(data)), out=total[1:])
+    code = (total[end] - total[start]) * powers(BACK, len(data))[start]
     code ^= code >> np.uint64(31)
     return code * MIX + (end - start).astype(np.uint64)
 
