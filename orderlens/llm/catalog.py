@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import decontaminate, language, ppm, quality, simhash, toxicity
+from orderlens.llm import decontaminate, language, pii, ppm, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
+    "op2_pii": pii.op2_pii,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_language_id": language.op4_language_id,
     "op5_toxicity": toxicity.op5_toxicity,
