@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import decontaminate, language, pii, ppm, quality, rules, simhash, toxicity
+from orderlens.llm import decontaminate, language, mixing, pii, ppm, quality, rules, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_simhash": simhash.op6_simhash,
     "op7_quality_rules": rules.op7_quality_rules,
+    "op8_mixing": mixing.op8_mixing,
     "op9_ppm": ppm.op9_ppm,
 }
 
