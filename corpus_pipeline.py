@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import language
+from orderlens.llm import decontaminate, language, mixing, pii, simhash
 from orderlens.session import scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,8 +22,33 @@ def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
     return found.where(~F.col("rejected")).select(*COLUMNS)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near duplicates: 3-word shingles, at most 2 differing bits."""
+    return simhash.deduplicated(docs.select(*COLUMNS), size=3, most=2)
+
+
+def without_test_items(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that hold no copy of a benchmark item."""
+    return decontaminate.clean(docs.select(*COLUMNS), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """All documents, with personal data and the terms that reveal it replaced."""
+    clean = pii.sanitised(docs.select(*COLUMNS))
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def target_mixture(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """A sample with the target shares of sources, languages and topics."""
+    return mixing.mixed(docs.select(*COLUMNS))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", known_language),
+    ("simhash_dedup", one_of_each),
+    ("decontaminate", without_test_items),
+    ("pii", without_personal_data),
+    ("mixing", target_mixture),
 ]
 
 #: Learned models, alignments and iterations are not one SQL statement; tested by brute force.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import decontaminate, language, mixing, pii, ppm, quality, rules, simhash, toxicity
+from orderlens.llm import decontaminate, language, licenses, mixing, pii, ppm, quality, rules, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": rules.op7_quality_rules,
     "op8_mixing": mixing.op8_mixing,
     "op9_ppm": ppm.op9_ppm,
+    "op10_licenses": licenses.op10_licenses,
 }
 
 #: DuckDB twins. The operators learn, align or iterate; none of them is one SQL statement, so each
