@@ -1,17 +1,19 @@
 """Language-model scores by prediction by partial matching (PPM), pretrained on the corpus.
 
-The trie holds how often each byte follows each context of up to three bytes, counted over all
-learned texts; a text is preceded by three end marks and followed by one (byte FF, which UTF-8
+The trie holds how often each byte follows each context of up to ``ORDER`` bytes, counted over all
+learned texts; a text is preceded by as many end marks and followed by one (byte FF, which UTF-8
 does not have). A byte is predicted by the longest context that has been seen with it. A context
 of n counts and q different bytes gives a byte with count c the probability c / (n + q) and an
 escape q / (n + q) to the next shorter context (method C), where the bytes of the longer contexts
 are excluded from counts and escape. Below the empty context all bytes not excluded are equal.
 
 Since exclusions depend on the context alone, every probability is computed once, when the model
-is built, into a dense table over the bytes seen; scoring a text is a lookup per byte. Contexts of
-up to two bytes are complete (at most 256 ** 3 numbers); of those of three bytes the model keeps
-the ``contexts`` with the most counts, the rest of the trie's capacity by parameter, and all others
-escape to two bytes. That bounds the broadcast at 256 ** 3 + contexts * 257 numbers of four bytes.
+is built, into a dense table over the bytes seen; scoring a text is a step down the trie and a
+lookup per byte. Contexts of up to two bytes are complete (at most 256 ** 3 numbers); of those of
+each greater length the model keeps the most frequent, up to ``contexts`` of them (the trie's
+capacity, a parameter), and all others escape to a shorter one. That bounds the broadcast at
+2 x 256 ** 3 + 2 x 257 x contexts x (ORDER - 2) numbers of four bytes; it is far smaller as texts
+use some hundred different bytes.
 
 The base score is a unigram model over words with add-one smoothing. Counts of the ``frequent``
 words are broadcast (bounded by the parameter); all other words of a document meet their counts in
@@ -38,7 +40,7 @@ from orderlens.llm.bytesets import runs, text_bytes
 from orderlens.llm.common import pick, remainder
 from orderlens.session import cut_lineage
 
-END, PAD = 0xFF, 3
+END, ORDER = 0xFF, 4
 END_TOKEN = b""
 CONTEXTS, FREQUENT = 1 << 16, 200_000
 HELD_WORDS, HELD_GRAMS = 300_000, 1 << 21
@@ -48,8 +50,8 @@ def padded(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Bytes with end marks around each text; where each predicted byte stands; its document."""
     docs, size = len(limits) - 1, np.diff(limits)
     owner = np.repeat(np.arange(docs), size + 1)
-    at = np.arange(len(owner)) + PAD * (owner + 1)
-    out = np.full(len(owner) + PAD * docs, END, np.uint8)
+    at = np.arange(len(owner)) + ORDER * (owner + 1)
+    out = np.full(len(owner) + ORDER * docs, END, np.uint8)
     text_at = np.ones(len(owner), bool)
     text_at[np.cumsum(size + 1) - 1] = False
     out[at[text_at]] = data
@@ -57,10 +59,12 @@ def padded(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def grams(data: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """Each predicted byte with the three bytes before it, as one number."""
+    """Each predicted byte with the ``ORDER`` bytes before it, as one number."""
     line, at, _ = padded(data, limits)
-    line = line.astype(np.uint32)
-    return (line[at - 3] << 24) | (line[at - 2] << 16) | (line[at - 1] << 8) | line[at]
+    line, code = line.astype(np.uint64), np.zeros(len(at), np.uint64)
+    for back in range(ORDER, -1, -1):
+        code = (code << np.uint64(8)) | line[at - back]
+    return code
 
 
 def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +75,7 @@ def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def corpus_counts(texts: DataFrame) -> DataFrame:
-    """(token, gram, n): how often each word, the end token and each run of four bytes is found.
+    """(token, gram, n): how often each word, the end token and each run of ``ORDER`` + 1 bytes is found.
 
     Tasks count in memory of bounded size and give out what they have whenever it is full.
     """
@@ -86,7 +90,7 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
             columns = [pa.nulls(len(found[0]), pa.binary()), pa.array(found[0].astype(np.int64)), pa.array(found[1])]
             return pa.RecordBatch.from_arrays(columns, ["token", "gram", "n"])
 
-        seen, kept = Counter(), (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        seen, kept = Counter(), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         for batch in batches:
             data, limits = text_bytes(batch.column(0))
             parts = [kept]
@@ -115,78 +119,127 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class ByteModel:
-    """log10 of every probability: ``start[context] + symbol`` is its place in ``table``."""
+    """log10 of every probability, in ``table``.
+
+    A context of two symbols is node a * width + b. ``child[k]`` leads from a node of k + 2 symbols,
+    followed by one more, to the node of all of them, or to -1 where the model does not keep it.
+    ``offset[k]`` is where the rows of the nodes of k + 2 symbols begin in the table.
+    """
 
     symbol: np.ndarray
-    start: np.ndarray
+    width: int
+    child: list[np.ndarray]
+    offset: list[int]
     table: np.ndarray
 
     def logs(self, data: np.ndarray, limits: np.ndarray) -> np.ndarray:
         """log10 of the probability of each text."""
         line, at, owner = padded(data, limits)
         line = self.symbol[line]
-        width = int(self.symbol.max()) + 1
-        context = (line[at - 3] * width + line[at - 2]) * width + line[at - 1]
-        return np.bincount(owner, self.table[self.start[context] + line[at]], minlength=len(limits) - 1)
+        node = np.zeros(len(line), np.int64)  # of the two symbols before each place
+        node[2:] = line[:-2] * self.width + line[1:-1]
+        start = node * self.width
+        for child, offset in zip(self.child, self.offset[1:]):
+            longer = np.full(len(line), -1, np.int64)
+            longer[1:] = np.where(node[:-1] >= 0, child[node[:-1] * self.width + line[:-1]], -1)
+            node = longer
+            start = np.where(node >= 0, offset + node * self.width, start)
+        return np.bincount(owner, self.table[start[at] + line[at]], minlength=len(limits) - 1)
 
 
 def safe_log(x: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(x, 1e-300))
 
 
-def build(triples: np.ndarray, triple_n: np.ndarray, quads: np.ndarray, quad_n: np.ndarray) -> ByteModel:
-    """The model from counts of (context of two bytes, byte) and of (context of three bytes, byte)."""
-    used = np.unique(np.r_[triples & 0xFF, (triples >> 8) & 0xFF, (triples >> 16) & 0xFF, END]).astype(np.int64)
+def step(count: np.ndarray, excluded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log probability of each byte of a context without those excluded, which it has, log of the escape."""
+    count = np.where(excluded, 0, count)
+    has = count > 0
+    n, q = count.sum(-1, keepdims=True), has.sum(-1, keepdims=True)
+    return safe_log(count / np.maximum(n + q, 1)), has, np.where(q > 0, safe_log(q / np.maximum(n + q, 1)), 0.0)
+
+
+def build(triples: tuple[np.ndarray, np.ndarray], longer: list[tuple[np.ndarray, np.ndarray]]) -> ByteModel:
+    """The model from (gram, count) of three bytes, and of 4, 5 ... bytes for the contexts that are kept."""
+    gram, n = triples
+    used = np.unique(np.r_[gram & 0xFF, (gram >> 8) & 0xFF, (gram >> 16) & 0xFF, END]).astype(np.int64)
     width = len(used) + 1  # the last symbol stands for every byte never seen
     symbol = np.full(256, width - 1, np.int64)
     symbol[used] = np.arange(len(used))
     counts = np.zeros((width, width, width))
-    np.add.at(counts, tuple(symbol[(triples >> shift) & 0xFF] for shift in (16, 8, 0)), triple_n)
-
-    def step(count: np.ndarray, excluded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log probability of each byte, which bytes the context has, log of the escape."""
-        count = np.where(excluded, 0, count)
-        has = count > 0
-        n, q = count.sum(-1, keepdims=True), has.sum(-1, keepdims=True)
-        return safe_log(count / np.maximum(n + q, 1)), has, np.where(q > 0, safe_log(q / np.maximum(n + q, 1)), 0.0)
+    np.add.at(counts, tuple(symbol[(gram >> shift) & 0xFF] for shift in (16, 8, 0)), n)
 
     one, none = counts.sum(0), counts.sum((0, 1))
-    seen2, seen1, seen0 = counts > 0, one > 0, none > 0
-    left = 256 - seen0.sum()
+    left = 256 - (none > 0).sum()
     lowest = -np.log10(left) if left else 0.0
-    # below the context of one byte: depends on that byte alone, since it has seen all that longer ones have
-    log0, has0, escape0 = step(np.broadcast_to(none, one.shape), seen1)
-    below1 = np.where(has0, log0, escape0 + lowest)
-    log1, has1, escape1 = step(np.broadcast_to(one, counts.shape), seen2)
-    below2 = np.where(has1, log1, escape1 + below1[None])
-    log2, _, escape2 = step(counts, np.zeros(1, bool))
-    table2 = np.where(seen2, log2, escape2 + below2).astype(np.float32)
-
-    contexts, row = np.unique(quads >> 8, return_inverse=True)
-    a, b, c = (symbol[(contexts >> shift) & 0xFF] for shift in (16, 8, 0))
-    start = np.broadcast_to(np.arange(width * width, dtype=np.int32) * width, (width, width * width)).reshape(-1).copy()
-    start[(a * width + b) * width + c] = width**3 + np.arange(len(contexts), dtype=np.int32) * width
-    deep = np.zeros((len(contexts), width))
-    np.add.at(deep, (row, symbol[quads & 0xFF]), quad_n)
-    parts = [table2.reshape(-1)]
-    for first in range(0, len(contexts), 4096):
-        own = slice(first, first + 4096)
-        log3, has3, escape3 = step(deep[own], np.zeros(1, bool))
-        log2x, has2x, escape2x = step(counts[b[own], c[own]], has3)
-        table = np.where(has3, log3, escape3 + np.where(has2x, log2x, escape2x + below2[b[own], c[own]]))
-        parts.append(table.astype(np.float32).reshape(-1))
-    return ByteModel(symbol, start, np.concatenate(parts))
+    # what lies below an escape depends on the context alone: it has seen all that longer ones have
+    log, has, escape = step(np.broadcast_to(none, one.shape), one > 0)
+    below = np.where(has, log, escape + lowest)
+    log, has, escape = step(np.broadcast_to(one, counts.shape), counts > 0)
+    below = np.where(has, log, escape + below[None]).reshape(width * width, width)
+    counts = counts.reshape(width * width, width)
+    log, has, escape = step(counts, np.zeros(1, bool))
+    tables, children, offset = [np.where(has, log, escape + below).astype(np.float32)], [], [0]
+
+    nodes = {}  # of the kept contexts of the length before; those of two bytes are all there
+    for length, (gram, n) in enumerate(longer, 3):
+        mask = (1 << (8 * (length - 1))) - 1
+        context = gram >> 8
+        known, row = np.unique(context, return_inverse=True)
+
+        def node(part: np.ndarray) -> np.ndarray:
+            if length == 3:
+                return symbol[part >> 8] * width + symbol[part & 0xFF]
+            return np.array([nodes.get(int(x), -1) for x in part], np.int64)  # noqa: B023
+
+        parent, suffix = node(known >> 8), node(known & mask)
+        reached = (parent >= 0) & (suffix >= 0)
+        place = np.cumsum(reached) - 1
+        own = np.zeros((int(reached.sum()), width), np.float32)
+        inside = reached[row]
+        np.add.at(own, (place[row[inside]], symbol[gram[inside] & 0xFF]), n[inside])
+        child = np.full(len(counts) * width, -1, np.int32)
+        child[parent[reached] * width + symbol[known[reached] & 0xFF]] = place[reached]
+        next_below, table = np.zeros(own.shape, np.float32), np.zeros(own.shape, np.float32)
+        for first in range(0, len(own), 4096):
+            part = slice(first, first + 4096)
+            log, has, escape = step(own[part].astype(np.float64), np.zeros(1, bool))
+            lower = suffix[reached][part]
+            log_x, has_x, escape_x = step(counts[lower].astype(np.float64), has)
+            next_below[part] = np.where(has_x, log_x, escape_x + below[lower])
+            table[part] = np.where(has, log, escape + next_below[part])
+        offset.append(sum(t.size for t in tables))
+        tables.append(table)
+        children.append(child)
+        counts, below = own, next_below
+        nodes = {int(x): int(p) for x, p in zip(known[reached], place[reached])}
+    return ByteModel(symbol, width, children, offset, np.concatenate([t.reshape(-1) for t in tables]))
+
+
+def most_frequent(rows: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` rows with the largest ``n``."""
+    return rows.orderBy(F.desc("n"), *[c for c in rows.columns if c != "n"]).limit(limit)
 
 
 def learn_bytes(counts: DataFrame, contexts: int = CONTEXTS) -> ByteModel:
     """Collect the bounded part of the trie and compute its probabilities."""
-    quads = counts.where(F.col("gram").isNotNull()).select("gram", "n")
-    context = F.shiftright("gram", 8)
-    triples = quads.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFFFF)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
-    most = quads.groupBy(context.alias("context")).agg(F.sum("n").alias("total"))
-    most = most.orderBy(F.desc("total"), "context").limit(contexts).select("context")
-    kept = quads.withColumn("context", context).join(F.broadcast(most), "context").select("gram", "n").toArrow()
-    return build(*(t.column(c).to_numpy() for t in (triples, kept) for c in ("gram", "n")))
+    longest = counts.where(F.col("gram").isNotNull()).select("gram", "n")
+
+    def of_length(size: int) -> DataFrame:
+        if size == ORDER + 1:
+            return longest
+        return longest.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * size)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
+
+    def collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        found = rows.select("gram", "n").toArrow()
+        return found.column("gram").to_numpy(), found.column("n").to_numpy()
+
+    longer = []
+    for length in range(3, ORDER + 1):
+        rows = of_length(length + 1).withColumn("context", F.shiftright("gram", 8))
+        kept = most_frequent(rows.groupBy("context").agg(F.sum("n").alias("n")), contexts).select("context")
+        longer.append(collected(rows.join(F.broadcast(cut_lineage(kept)), "context")))
+    return build(collected(of_length(3)), longer)
 
 
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", contexts: int = CONTEXTS, frequent: int = FREQUENT) -> DataFrame:
@@ -199,7 +252,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     counts = cut_lineage(corpus_counts(rows.where(~F.col("held_out"))))
     vocabulary = counts.where(F.col("token").isNotNull()).select("token", "n")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
-    top = vocabulary.orderBy(F.desc("n"), "token").limit(frequent).toArrow()
+    top = most_frequent(vocabulary, frequent).toArrow()
     known = dict(zip(top.column("token").to_pylist(), np.log10(top.column("n").to_numpy() + 1.0).tolist()))
     shared = spark.sparkContext.broadcast((known, learn_bytes(counts, contexts)))
 
