@@ -87,8 +87,8 @@ def raked(cells: DataFrame, aims: Mapping[str, float | Mapping[str, float]], bud
     aimed = {d: cut_lineage(targets(cells, d, aims[d])) for d in DIMENSIONS}
     for dimension in DIMENSIONS:
         live = live.join(aimed[dimension].withColumnRenamed("target", f"target_{dimension}"), dimension)
-    live, error = cut_lineage(live), 0.0
-    for sweep in range(sweeps):
+    live, error, before = cut_lineage(live), 0.0, float("inf")
+    for _ in range(sweeps):
         for dimension in DIMENSIONS:
             sums = live.groupBy(dimension).agg(F.sum("q").alias("sum_"))
             scaled = F.when(F.col("sum_") > 0, F.col("q") * F.col(f"target_{dimension}") / F.col("sum_")).otherwise(0.0)
@@ -99,8 +99,9 @@ def raked(cells: DataFrame, aims: Mapping[str, float | Mapping[str, float]], bud
             for d in DIMENSIONS
         ]
         error = max((row.off or 0.0) for row in off[0].union(off[1]).union(off[2]).collect())
-        if error <= tolerance:
+        if error <= tolerance or error > 0.999 * before:  # met, or as near as targets and bounds allow
             break
+        before = error
     return live, error
 
 

@@ -224,13 +224,13 @@ def sanitised(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """``docs`` with personal data and revealing terms replaced in the text; null texts stay null."""
     reach = how.get("reach", REACH)
     rows = docs.select(quoted(text_col).alias("text"))
-    marked = with_base(docs.withColumn("text_", quoted(text_col)), reach, "text_")
-    marked = marked.select("*", *digest(F.col("text_")))
+    packed = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row_"), quoted(text_col).alias("text_"))
+    marked = with_base(packed, reach, "text_").select("*", *digest(F.col("text_")))
     base = cut_lineage(with_base(rows, reach).select(*digest(F.col("text")), "base_"))
     joined = marked.join(term_spans(rows, base, **how), ["h1_", "h2_"], "left")
     every = F.array_sort(F.concat(plain(F.col("base_")), F.coalesce(F.col("terms_").cast(PLAIN), F.array().cast(PLAIN))))
     ready = joined.withColumn("spans_", every).withColumn("new_", replaced(F.col("text_"), F.col("spans_")))
-    return ready.select(*[F.col("new_").alias(text_col) if c == text_col else quoted(c) for c in docs.columns])
+    return ready.select(*[F.col("new_").alias(text_col) if c == text_col else F.col("row_").getField(c).alias(c) for c in docs.columns])
 
 
 def op2_pii(spark, folder: str) -> DataFrame:

@@ -107,8 +107,8 @@ def statistics(data: np.ndarray, limits: np.ndarray) -> dict[str, np.ndarray]:
     starts[limits[:-1]] = True
     starts[1:][broken] = True
     line_start = np.flatnonzero(starts[: len(data)])
-    line_end = np.append(line_start[1:], len(data))
-    line_end = np.where(broken[np.maximum(line_end - 1, 0)], line_end - 1, line_end)
+    line_end = np.append(line_start[1:], len(data))[: len(line_start)]
+    line_end = np.where(broken[line_end - 1], line_end - 1, line_end)
     full = line_end > line_start
     line_start, line_end = line_start[full], line_end[full]
     lines = np.bincount(np.searchsorted(limits, line_start, "right") - 1, minlength=len(limits) - 1)
