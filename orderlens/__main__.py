@@ -13,7 +13,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 
 from orderlens.columns import FEATURES, ITEM_KEY, ITEM_ORDER, TARGET
-from orderlens.functions.expressions import numeric_columns
+from orderlens.functions.expressions import numeric_columns, row_text
 from orderlens.operators import keywords, profiling
 from orderlens.plans.bundle import load_bundle, save_bundle
 from orderlens.plans.forecast import score_table, train
@@ -29,28 +29,12 @@ def _table(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
     return canonical_columns(load_table(spark, options.input))
 
 
-def metrics_report(metrics: dict[str, float]) -> str:
-    """The metrics of a training run as readable lines."""
-    return "\n".join(
-        [
-            f"Mean absolute error (MAE):       {metrics['mae']:.4f}",
-            f"Mean squared error (MSE):        {metrics['mse']:.4f}",
-            f"Root mean squared error (RMSE):  {metrics['rmse']:.4f}",
-            f"R² score:                        {metrics['r2']:.6f}",
-            f"Cross-validation score:          {metrics['cv_mean']:.4f} ± {metrics['cv_std']:.4f}",
-            f"Resilience score:                {metrics['resilience_score']:.4f}",
-            f"80% interval coverage:           {metrics['coverage_80'] * 100:.2f}%",
-            f"95% interval coverage:           {metrics['coverage_95'] * 100:.2f}%",
-        ]
-    )
-
-
 def _train(spark: SparkSession, options: argparse.Namespace) -> None:
     items = _table(spark, options)
     check_table(items, [*FEATURES, TARGET])
     sizes = Sizes(options.trees, options.trees, max(1, options.trees // 2), max(1, options.trees // 2))
     trained = train(items, options.key, options.order, sizes=sizes)
-    print(metrics_report(trained.metrics.first().asDict()))
+    print(row_text(trained.metrics.first().asDict()))
     save_bundle(trained.bundle, options.output)
 
 

@@ -17,7 +17,7 @@ from orderlens.catalog.base import (
 from orderlens.columns import CATEGORICAL, ITEM_KEY, NUMERIC
 from orderlens.operators import keywords, predicates, profiling
 from orderlens.operators.scoring import combine_predictions
-from orderlens.sources.order_items import order_items
+from orderlens.sources.order_items import ITEM_COLUMNS, order_items
 
 _ROW = ", ".join([*ITEM_KEY, "sales"])
 
@@ -226,7 +226,7 @@ def keyword_summary(spark, folder):
 @query(on_items("SELECT count(*) AS n_rows, 18 AS n_columns FROM items"))
 def table_shape(spark, folder):
     """A1"""
-    return profiling.table_shape(order_items(spark, folder))
+    return profiling.table_shape(order_items(spark, folder, ["sales"]), len(ITEM_COLUMNS))
 
 
 @query(
@@ -474,6 +474,6 @@ def business_context(spark, folder):
 )
 def dataset_summary(spark, folder):
     """A18"""
-    row = profiling.dataset_summary(order_items(spark, folder))
+    row = profiling.dataset_summary(order_items(spark, folder, ["sales"]), n_columns=len(ITEM_COLUMNS))
     return rounded(row, {"sum_sales": 2, "mean_sales": 4, "median_sales": 4})
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.functions.expressions import nan_to_null
+from orderlens.session import small_side
 from orderlens.sources.order_items import order_items
 
 
@@ -132,7 +133,8 @@ def closed_form_models(spark: SparkSession, folder: str, columns: Sequence[str]
     groups = items.groupBy(F.col("quantity").alias("q")).agg(
         F.avg("sales").alias("m_group"), F.stddev_samp("sales").alias("sigma")
     )
-    return items.join(groups, F.col("quantity") == F.col("q")).select(
+    # few rows, so that the order lines stay where they are; their size is checked, not estimated
+    return items.join(small_side(groups), F.col("quantity") == F.col("q")).select(
         *wanted,
         "m_group",
         (lines["s1"] * F.col("sales_per_customer") + lines["i1"]).alias("m_line"),

@@ -391,6 +391,29 @@ def _models(spark, folder, *columns):
     return closed_form_models(spark, folder, [*ITEM_KEY, *columns])
 
 
+@query(
+    on_items(
+        "SELECT round(avg(abs(y - p)), 4) AS mae, round(avg((y - p) * (y - p)), 2) AS mse, "
+        "round(1 - avg((y - p) * (y - p)) / var_pop(y), 8) AS r2 "
+        "FROM scored WHERE y IS NOT NULL AND p IS NOT NULL",
+        "lines AS (SELECT regr_slope(sales, quantity) AS a, regr_intercept(sales, quantity) AS b FROM items)",
+        "scored AS (SELECT CASE WHEN quantity <> 13 THEN sales END AS y, "
+        "CASE WHEN days_sched <> 3 THEN a * quantity + b END AS p FROM items, lines)",
+    )
+)
+def error_metrics_with_gaps(spark, folder):
+    """R17 where some rows have no target and others no prediction: every term is over the complete pairs."""
+    items = order_items(spark, folder, ["quantity", "sales", "days_sched"])
+    line = items.agg(
+        F.struct(F.regr_slope("sales", "quantity").alias("a"), F.regr_intercept("sales", "quantity").alias("b")).alias("line")
+    ).scalar()
+    rows = items.select(
+        F.when(F.col("quantity") != 13, F.col("sales")).alias("y"),
+        F.when(F.col("days_sched") != 3, line["a"] * F.col("quantity") + line["b"]).alias("p"),
+    )
+    return rounded(evaluation.error_metrics(rows, "y", "p").select("mae", "mse", "r2"), {"mae": 4, "mse": 2, "r2": 8})
+
+
 @query(
     on_scored(f"SELECT {_KEY}, round((2 * m_group + m_line + m_quantity) / 4.0, 2) AS ensemble FROM scored")
 )

@@ -82,6 +82,23 @@ def csv_encoding_detected(spark, folder):
     return reduce(DataFrame.unionByName, parts)
 
 
+@query(
+    on_items(
+        "SELECT 'é \"' || market || '\", ' || chr(10) || customer_segment AS note, count(*) AS n, round(sum(sales), 2) AS sum_sales "
+        "FROM items GROUP BY market, customer_segment"
+    )
+)
+def csv_round_trip(spark, folder):
+    """SRC1, SNK3: accents, quotes, commas and line breaks survive, and a schema goes by names, not by places."""
+    path = scratch_path(spark, "round")
+    items = order_items(spark, folder, ["sales", "market", "customer_segment"])
+    note = F.concat(F.lit('é "'), "market", F.lit('", \n'), "customer_segment").alias("note")
+    sinks.write_csv(items.select("sales", note), path)
+    schema = T.StructType([T.StructField("note", T.StringType()), T.StructField("sales", T.DoubleType())])
+    back = files.read_csv(spark, path, schema)
+    return back.groupBy("note").agg(F.count("*").alias("n"), F.round(F.sum("sales"), 2).alias("sum_sales"))
+
+
 _FORMATS = ["csv", "json", "orc", "parquet"]
 
 
@@ -301,7 +318,7 @@ def _record_sql(position: int) -> str:
 @query(_record_sql(42))
 def record_features(spark, folder):
     """P8, L3"""
-    picked = paging.record(order_items(spark, folder), ITEM_ORDER, 42)
+    picked = order_items(spark, folder, pick=lambda lines: paging.record(lines, ITEM_ORDER, 42))
     return paging.unpivot_record(picked.select(*FEATURES, "sales"))
 
 
@@ -334,26 +351,28 @@ def aligned_inputs(spark, folder):
 
 
 _PAGE = f"{_KEY}, ts, market, sales"
+_PAGE_COLUMNS = [*ITEM_ORDER, "market"]
 
 
 @query(on_items(f"SELECT {_PAGE} FROM items ORDER BY {ITEM_ORDER_SQL} LIMIT 100"))
 def head_rows(spark, folder):
     """L1"""
-    return paging.head(order_items(spark, folder), ITEM_ORDER, 100).select(*ITEM_KEY, "ts", "market", "sales")
+    items = order_items(spark, folder, _PAGE_COLUMNS, pick=lambda lines: paging.head(lines, ITEM_ORDER, 100))
+    return items.orderBy(*ITEM_ORDER).select(*ITEM_KEY, "ts", "market", "sales")
 
 
 @query(on_items(f"SELECT {_PAGE} FROM items ORDER BY {ITEM_ORDER_SQL} LIMIT 50 OFFSET 400"))
 def page_rows(spark, folder):
     """L2"""
-    return paging.page(order_items(spark, folder), ITEM_ORDER, 400, 50).select(*ITEM_KEY, "ts", "market", "sales")
+    items = order_items(spark, folder, _PAGE_COLUMNS, pick=lambda lines: paging.page(lines, ITEM_ORDER, 400, 50))
+    return items.orderBy(*ITEM_ORDER).select(*ITEM_KEY, "ts", "market", "sales")
 
 
 @query(on_items(f"SELECT {_PAGE} FROM items ORDER BY {ITEM_ORDER_SQL} LIMIT 200 OFFSET 3000"))
 def deep_page_rows(spark, folder):
     """L2 beyond the depth where the first rows of every partition would be kept."""
-    items = order_items(spark, folder, [*ITEM_ORDER, "market"])
-    found = paging.page(items, ITEM_ORDER, 3000, 200, shallow_rows=1000)
-    return found.select(*ITEM_KEY, "ts", "market", "sales")
+    items = order_items(spark, folder, _PAGE_COLUMNS, pick=lambda lines: paging.page(lines, ITEM_ORDER, 3000, 200))
+    return items.orderBy(*ITEM_ORDER).select(*ITEM_KEY, "ts", "market", "sales")
 
 
 _RANDOM = " || '|' || ".join(["'42'", *[f"CAST({c} AS VARCHAR)" for c in ITEM_KEY]])
@@ -362,7 +381,8 @@ _RANDOM = " || '|' || ".join(["'42'", *[f"CAST({c} AS VARCHAR)" for c in ITEM_KE
 @query(on_items(f"SELECT {_PAGE} FROM items ORDER BY md5({_RANDOM}), {_KEY} LIMIT 1"))
 def random_record(spark, folder):
     """L5"""
-    return paging.random_record(order_items(spark, folder), ITEM_KEY).select(*ITEM_KEY, "ts", "market", "sales")
+    items = order_items(spark, folder, _PAGE_COLUMNS, pick=lambda lines: paging.random_record(lines, ITEM_KEY))
+    return items.select(*ITEM_KEY, "ts", "market", "sales")
 
 
 @query(

@@ -19,6 +19,27 @@ REPORT_BANDS = (50.0, 100.0)
 RECORD_BANDS = (30.0, 80.0)
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation over the rows with both values; NULL where one of them does not vary.
+
+    The built-in ``corr`` raises for a constant column in ANSI mode.
+    """
+    a, b = F.when(b.isNotNull(), a.cast("double")), F.when(a.isNotNull(), b.cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
+def row_text(row: Mapping[str, object]) -> str:
+    """A row as lines of name and value."""
+    width = max(map(len, row), default=0)
+    show = lambda value: f"{value:,.6g}" if isinstance(value, float) else str(value)
+    return "\n".join(f"{name:<{width}}  {show(value)}" for name, value in row.items())
+
+
 def is_numeric(data_type: T.DataType) -> bool:
     return isinstance(data_type, T.NumericType)
 

@@ -7,15 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.functions.expressions import EPSILON, Z80, Z95, one_row_to_long
+from orderlens.functions.expressions import EPSILON, Z80, Z95, one_row_to_long, pearson, quoted
 from orderlens.operators.ordered import dense_index
 
 # Weights of the resilience score.
 W_R2, W_MAE, W_VOLATILITY, W_TREND = 0.4, 0.3, 0.2, 0.1
 
 
+def complete(actual: Column, predicted: Column) -> tuple[Column, Column]:
+    """Both values where both are there, else NULL, so that every term of a metric is over the same rows."""
+    return F.when(predicted.isNotNull(), actual), F.when(actual.isNotNull(), predicted)
+
+
 def r_squared(actual: Column, predicted: Column) -> Column:
     """1 - SSE/SST; a constant target gives 1 if met exactly, else 0; below two rows NULL."""
+    actual, predicted = complete(actual, predicted)
     error = F.avg((actual - predicted) * (actual - predicted))
     spread = F.var_pop(actual)
     return (
@@ -64,7 +70,7 @@ def resilience(df: DataFrame, actual: str, predicted: str, order: Sequence[str])
 
 
 def resilience_of_indexed(df: DataFrame, actual: str, predicted: str, index: str) -> DataFrame:
-    a, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
+    a, p = complete(F.col(actual).cast("double"), F.col(predicted).cast("double"))
     parts = df.agg(
         r_squared(a, p).alias("r2"),
         F.avg(F.abs(a - p)).alias("mae"),
@@ -83,8 +89,8 @@ def resilience_of_indexed(df: DataFrame, actual: str, predicted: str, index: str
 
 def f_scores(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Univariate linear F score of every feature, from the correlations of one aggregate."""
-    row = df.where(F.col(target).isNotNull()).agg(
-        F.count("*").alias("n"), *[F.corr(c, target).alias(f"r{i}") for i, c in enumerate(features)]
+    row = df.where(quoted(target).isNotNull()).agg(
+        F.count("*").alias("n"), *[pearson(quoted(c), quoted(target)).alias(f"r{i}") for i, c in enumerate(features)]
     )
     rows = []
     for i, name in enumerate(features):

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.functions.expressions import EPSILON, row_features
+from orderlens.functions.expressions import EPSILON, quoted, row_features
 from orderlens.operators.ordered import percentile_rank, trailing_mean
 
 
@@ -19,12 +19,12 @@ def zscores(df: DataFrame, columns: Sequence[str], suffix: str = "_zscore") -> D
     """Distance from the mean in sample deviations. The statistics are one row, read as a scalar subquery."""
     stats = df.agg(
         F.struct(
-            *[F.avg(c).alias(f"mean_{c}") for c in columns],
-            *[F.stddev_samp(c).alias(f"std_{c}") for c in columns],
+            *[F.avg(quoted(c)).alias(f"mean{i}") for i, c in enumerate(columns)],
+            *[F.stddev_samp(quoted(c)).alias(f"std{i}") for i, c in enumerate(columns)],
         ).alias("stats")
     ).scalar()
     return df.withColumns(
-        {f"{c}{suffix}": (F.col(c) - stats[f"mean_{c}"]) / (stats[f"std_{c}"] + EPSILON) for c in columns}
+        {f"{c}{suffix}": (quoted(c) - stats[f"mean{i}"]) / (stats[f"std{i}"] + EPSILON) for i, c in enumerate(columns)}
     )
 
 

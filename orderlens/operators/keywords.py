@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.columns import TARGET
-from orderlens.functions.expressions import string_columns
+from orderlens.functions.expressions import quoted, row_text, string_columns
 from orderlens.operators.predicates import all_of
 
 # Words of a question that point at a column, and the label of the filter.
@@ -35,33 +35,31 @@ def phrases(text: str) -> list[str]:
     return sorted({"".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)})
 
 
-def find_value(df: DataFrame, column: str, text: str) -> str | None:
-    """Value of ``column`` that occurs in the text as whole words: the longest, then the first by name."""
-    found = (
-        df.select(F.col(column).alias("value"))
-        .where(squash(F.col(column)).isin(phrases(text)))
-        .distinct()
-        .orderBy(F.length("value").desc(), "value")
-        .first()
-    )
-    return found["value"] if found else None
+def find_values(df: DataFrame, columns: Sequence[str], text: str) -> dict[str, str]:
+    """Per column its value that occurs in the text as whole words: the longest, then the first by name.
+
+    One pass for all columns; what reaches the driver is at most a spelling of each phrase of the text.
+    """
+    known = phrases(text)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).alias("value")) for c in columns])
+    found = df.select(F.inline(pairs)).where(squash(F.col("value")).isin(known)).distinct()
+    longest = found.groupBy("column").agg(F.min(F.struct((-F.length("value")).alias("size"), "value")).alias("best"))
+    return {row["column"]: row["best"]["value"] for row in longest.collect()}
 
 
 def match_question(df: DataFrame, text: str, topics: Mapping[str, str] = TOPICS) -> list[Match]:
     """Per topic word in the text: the first text column named like it, and its value in the text."""
-    matches = []
+    asked = {}
     for word, label in topics.items():
-        if word not in text.lower():
-            continue
         column = next((c for c in string_columns(df) if word in c.lower()), None)
-        value = find_value(df, column, text) if column else None
-        if value is not None:
-            matches.append(Match(label, column, value))
-    return matches
+        if word in text.lower() and column:
+            asked[label] = column
+    values = find_values(df, sorted(set(asked.values())), text) if asked else {}
+    return [Match(label, column, values[column]) for label, column in asked.items() if column in values]
 
 
 def match_predicate(matches: Sequence[Match]) -> Column:
-    return all_of(F.col(m.column) == F.lit(m.value) for m in matches)
+    return all_of(quoted(m.column) == F.lit(m.value) for m in matches)
 
 
 def ask(df: DataFrame, text: str) -> DataFrame:
@@ -83,20 +81,7 @@ def query_summary(df: DataFrame, predicate: Column, target: str = TARGET) -> Dat
 
 
 def summary_text(df: DataFrame, text: str, target: str = TARGET) -> str:
-    """The summary of a keyword question as readable lines."""
+    """The filters of a keyword question and its one-row summary, a line for each column."""
     matches = match_question(df, text)
     row = query_summary(df, match_predicate(matches), target).first()
-    named = ", ".join(f"{m.label} = {m.value}" for m in matches) or "None"
-    lines = [
-        f"Query: '{text}'",
-        f"Filters Applied: {named}",
-        f"Records Found: {row['matched']:,} out of {row['total']:,}",
-    ]
-    if row["sum_sales"] is not None:
-        lines += [
-            "Sales Statistics:",
-            f"  Total: ${row['sum_sales']:,.2f}",
-            f"  Average: ${row['mean_sales']:,.2f}",
-            f"  Range: ${row['min_sales']:,.2f} - ${row['max_sales']:,.2f}",
-        ]
-    return "\n".join(lines)
+    return "\n".join([*(f"{m.column} = {m.value}" for m in matches), row_text(row.asDict())])

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orderlens.functions.expressions import quoted
 from orderlens.session import cut_lineage, shuffle_partitions
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the position in its lower 33 bits
@@ -28,7 +29,8 @@ SALTS = 1024
 
 def _in_order(df: DataFrame, order: Sequence[str], partitions: int | None) -> DataFrame:
     parts = partitions or shuffle_partitions(df.sparkSession)
-    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    keys = [quoted(c) for c in order]
+    placed = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     return placed.withColumns(
         {
             "_part": F.spark_partition_id(),
@@ -47,7 +49,7 @@ def _indexed(df: DataFrame, order: Sequence[str], name: str, partitions: int | N
     # One row per partition: the number of partitions bounds the broadcast.
     offsets = df.sparkSession.createDataFrame(starts, "_part int, _start bigint")
     joined = rows.join(F.broadcast(offsets), "_part")
-    return joined.select(*df.columns, (F.col("_start") + F.col("_position")).alias(name)), total
+    return joined.select(*[quoted(c) for c in df.columns], (F.col("_start") + F.col("_position")).alias(name)), total
 
 
 def dense_index(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.columns import FILTER_COLUMNS
-from orderlens.functions.expressions import is_numeric, one_row_to_long, string_columns
+from orderlens.functions.expressions import is_numeric, one_row_to_long, quoted, string_columns
 from orderlens.operators.quantiles import exact_quantiles
 
 COMPARISONS = {
@@ -37,9 +37,9 @@ def filter_predicate(df: DataFrame, filters: Mapping[str, Any]) -> Column:
             continue
         if isinstance(wanted, tuple):
             low, high = wanted
-            parts.append(F.col(name).between(low, high))
+            parts.append(quoted(name).between(low, high))
         elif wanted:
-            parts.append(F.col(name).isin(list(wanted)))
+            parts.append(quoted(name).isin(list(wanted)))
     return all_of(parts)
 
 
@@ -56,7 +56,7 @@ def condition_predicate(df: DataFrame, column: str, operator: str, value: Any, r
     """
     if column not in df.columns:
         raise ValueError(f"unknown column: {column}")
-    field = F.col(f"`{column}`")
+    field = quoted(column)
     numeric = is_numeric(df.schema[column].dataType)
     if operator in ("==", "!="):
         if numeric == isinstance(value, str):
@@ -104,16 +104,16 @@ def filter_ratio(df: DataFrame, predicate: Column) -> DataFrame:
 def range_bounds(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Smallest and largest value per column, for columns that have more than one value."""
     bounds = df.agg(
-        *[F.min(c).cast("double").alias(f"lo_{c}") for c in names],
-        *[F.max(c).cast("double").alias(f"hi_{c}") for c in names],
+        *[F.min(quoted(c)).cast("double").alias(f"lo{i}") for i, c in enumerate(names)],
+        *[F.max(quoted(c)).cast("double").alias(f"hi{i}") for i, c in enumerate(names)],
     )
-    rows = [(F.lit(c), F.col(f"lo_{c}"), F.col(f"hi_{c}")) for c in names]
+    rows = [(F.lit(c), F.col(f"lo{i}"), F.col(f"hi{i}")) for i, c in enumerate(names)]
     return one_row_to_long(bounds, rows, ["column", "lo", "hi"]).where("lo < hi")
 
 
 def distinct_values(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Distinct non-null (column, value) pairs; copies are dropped before the shuffle."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in names])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("value")) for c in names])
     return df.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
 
 
@@ -136,7 +136,7 @@ def filterable_categoricals(
 
 
 def sorted_distinct(df: DataFrame, name: str, limit: int | None = None) -> DataFrame:
-    values = df.select(name).where(F.col(name).isNotNull()).distinct().orderBy(name)
+    values = df.select(quoted(name)).where(quoted(name).isNotNull()).distinct().orderBy(quoted(name))
     return values.limit(limit) if limit is not None else values
 
 
@@ -150,7 +150,7 @@ def picker_defaults(df: DataFrame, name: str) -> DataFrame:
     """Bounds and median of a numeric column: the range and start value of a number picker."""
     median = exact_quantiles(df, [name], [0.5])[name][0]
     return df.agg(
-        F.min(name).cast("double").alias("lo"),
-        F.max(name).cast("double").alias("hi"),
+        F.min(quoted(name)).cast("double").alias("lo"),
+        F.max(quoted(name)).cast("double").alias("hi"),
         F.lit(median).cast("double").alias("median"),
     )

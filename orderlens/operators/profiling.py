@@ -10,13 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.columns import TARGET
-from orderlens.functions.expressions import is_numeric, missing, numeric_columns, one_row_to_long, string_columns
+from orderlens.functions.expressions import is_numeric, missing, numeric_columns, one_row_to_long, pearson, quoted, string_columns
 from orderlens.operators.predicates import distinct_values
 from orderlens.operators.quantiles import exact_quantiles
 
 
-def table_shape(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"))
+# Column pairs whose correlations one aggregate computes.
+PAIRS_A_PASS = 1225
+
+
+def table_shape(df: DataFrame, n_columns: int | None = None) -> DataFrame:
+    """Rows and columns; with ``n_columns`` any one column of a wider table will do to count its rows."""
+    return df.agg(F.count("*").alias("n_rows"), F.lit(n_columns or len(df.columns)).alias("n_columns"))
 
 
 def target_stats(df: DataFrame, target: str = TARGET) -> DataFrame:
@@ -155,11 +160,20 @@ def kind_counts(profile: DataFrame) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of every column pair over the rows that have both values, in one pass."""
+    """Pearson correlation of every column pair over the rows that have both values; NULL for a constant column.
+
+    Up to ``PAIRS_A_PASS`` pairs (50 columns) share one pass over the table; more of them take
+    further passes, so that no aggregate grows with the square of the table's width.
+    """
     names = list(columns) if columns is not None else numeric_columns(df)
     pairs = list(combinations(names, 2))
-    row = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    return one_row_to_long(row, [(F.lit(a), F.lit(b), F.col(f"r{i}")) for i, (a, b) in enumerate(pairs)], ["a", "b", "r"])
+    result = df.sparkSession.createDataFrame([], "a string, b string, r double")
+    for first in range(0, len(pairs), PAIRS_A_PASS):
+        part = pairs[first : first + PAIRS_A_PASS]
+        row = df.agg(*[pearson(quoted(a), quoted(b)).alias(f"r{i}") for i, (a, b) in enumerate(part)])
+        rows = [(F.lit(a), F.lit(b), F.col(f"r{i}")) for i, (a, b) in enumerate(part)]
+        result = result.union(one_row_to_long(row, rows, ["a", "b", "r"])) if first else one_row_to_long(row, rows, ["a", "b", "r"])
+    return result
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -227,11 +241,12 @@ def business_context(df: DataFrame, target: str = TARGET, market: str = "market"
     )
 
 
-def dataset_summary(df: DataFrame, target: str = TARGET) -> DataFrame:
+def dataset_summary(df: DataFrame, target: str = TARGET, n_columns: int | None = None) -> DataFrame:
+    """Rows, columns and the target's statistics; ``n_columns`` as in ``table_shape``."""
     median = exact_quantiles(df, [target], [0.5])[target][0]
     return df.agg(
         F.count("*").alias("n_rows"),
-        F.lit(len(df.columns)).alias("n_columns"),
+        F.lit(n_columns or len(df.columns)).alias("n_columns"),
         F.sum(target).alias("sum_sales"),
         F.avg(target).alias("mean_sales"),
         F.lit(median).cast("double").alias("median_sales"),

@@ -6,6 +6,7 @@ Everything learned is learned from the training rows only and stored in one
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Sequence
 
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.columns import CATEGORICAL, NUMERIC, TARGET
-from orderlens.functions.expressions import EPSILON, hash_bucket
+from orderlens.functions.expressions import EPSILON, hash_bucket, quoted
+from orderlens.operators.predicates import distinct_values
 from orderlens.operators.quantiles import approximate_quantiles, exact_quantiles
 
 # Seed, split shares in percent, number of folds, features to keep.
@@ -55,16 +57,17 @@ def with_fold(
 def median_impute(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fill NULLs with the exact median of the column."""
     medians = exact_quantiles(df, columns, [0.5])
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c][0])) for c in columns})
+    return df.withColumns({c: F.coalesce(quoted(c), F.lit(medians[c][0])) for c in columns})
 
 
 def robust_scale(df: DataFrame, columns: Sequence[str], suffix: str = "_scaled") -> DataFrame:
-    """(x - median) / IQR with exact quartiles; a zero IQR scales by one."""
+    """(x - median) / IQR with exact quartiles; a zero IQR scales by one, no values give none."""
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     scaled = {}
     for name in columns:
-        q25, q50, q75 = quartiles[name]
-        scaled[f"{name}{suffix}"] = (F.col(name) - F.lit(q50)) / F.lit((q75 - q25) or 1.0)
+        # a column without values stays without values
+        q25, q50, q75 = (q if q is not None else 0.0 for q in quartiles[name])
+        scaled[f"{name}{suffix}"] = (quoted(name) - F.lit(q50)) / F.lit((q75 - q25) or 1.0)
     return df.withColumns(scaled)
 
 
@@ -98,27 +101,28 @@ def _zscore_stage(train: DataFrame, numeric: Sequence[str]) -> SQLTransformer:
     return _select(parts)
 
 
-def _percentile_stages(train: DataFrame, numeric: Sequence[str]) -> list:
+def _percentile_stages(train: DataFrame, numeric: Sequence[str], steps: int) -> list:
     """Percentile of a value among the training rows, read from a stored curve of bounded size.
 
-    The curve has a step at each of up to ``PERCENTILE_STEPS`` quantiles; a step holds the
-    exact average rank of the training rows on it.
+    The curve has a step at each of up to ``steps`` quantiles; a step holds the exact average rank
+    of the training rows on it, so a value is off its exact rank by the rows of its step at most,
+    about 1 / ``steps`` beyond what a single value holds.
     """
-    shares = [i / PERCENTILE_STEPS for i in range(PERCENTILE_STEPS + 1)]
+    shares = [i / steps for i in range(steps + 1)]
     marks = approximate_quantiles(train, numeric, shares)
-    inner = {c: sorted({m for m in marks[c] if m is not None}) or [0.0] for c in numeric}
+    inner = {c: sorted({m for m in marks[c] if m is not None and math.isfinite(m)}) or [0.0] for c in numeric}
     bucketizer = Bucketizer(
         splitsArray=[[-float("inf"), *inner[c], float("inf")] for c in numeric],
         inputCols=list(numeric),
         outputCols=[f"{c}_step" for c in numeric],
         handleInvalid="keep",
     )
-    steps = F.array(
+    placed = F.array(
         *[F.struct(F.lit(c).alias("column"), F.col(f"{c}_step").cast("int").alias("step")) for c in numeric]
     )
     counted = (
         bucketizer.transform(train)
-        .select(F.inline(steps))
+        .select(F.inline(placed))
         .where(F.col("step").isNotNull())
         .groupBy("column", "step")
         .count()
@@ -170,20 +174,25 @@ def fit_preparation(
     categorical: Sequence[str] = CATEGORICAL,
     target: str = TARGET,
     trailing: bool = True,
-    exact_quartiles: bool = False,
+    exact_quartiles: bool = True,
     best: int = BEST_FEATURES,
+    percentile_steps: int = PERCENTILE_STEPS,
+    max_categories: int = MAX_CATEGORIES,
 ) -> PipelineModel:
     """Learn the whole preparation from the training rows; the result adds a ``features`` vector.
 
     With ``trailing`` the rows must carry the trailing means (``*_ma``), which need the order
-    of the whole table and are therefore computed before. Quartiles for imputing and scaling
-    come from one bounded sketch pass, or are exact on request. The F scores are computed only
-    if there are more than ``best`` features to choose from.
+    of the whole table and are therefore computed before. Quartiles for imputing and scaling are
+    exact, as in ``median_impute`` and ``robust_scale``; with ``exact_quartiles=False`` they come
+    from one bounded sketch pass. ``percentile_steps`` is the size of the stored percentile curve.
+    A column with more than ``max_categories`` distinct values, by exact count, is refused: its
+    one-hot labels would be held by the driver. The F scores are computed only if there are more
+    than ``best`` features to choose from.
     """
     stages = [_row_feature_stage(numeric, categorical)]
     rows = stages[0].transform(train)
     stages.append(_zscore_stage(rows, numeric))
-    stages += _percentile_stages(rows, numeric)
+    stages += _percentile_stages(rows, numeric, percentile_steps)
     for stage in stages[1:]:
         rows = stage.transform(rows)
     names = numeric_feature_names(numeric, trailing)
@@ -192,7 +201,7 @@ def fit_preparation(
 
     encoded = []
     if categorical:
-        _check_categories(rows, categorical)
+        _check_categories(rows, categorical, max_categories)
         indexer = StringIndexer(
             inputCols=[f"{c}_filled" for c in categorical],
             outputCols=[f"{c}_index" for c in categorical],
@@ -227,10 +236,10 @@ def best_features(features: str, target: str, output: str, best: int) -> Univari
     return selector.setFeatureType("continuous").setLabelType("continuous").setSelectionThreshold(best)
 
 
-def _check_categories(df: DataFrame, categorical: Sequence[str]) -> None:
+def _check_categories(df: DataFrame, categorical: Sequence[str], limit: int) -> None:
     """One-hot labels are held by the driver; refuse columns that are not categorical in size."""
-    row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
-    large = [c for c in categorical if row[c] > MAX_CATEGORIES]
+    counts = distinct_values(df, categorical).groupBy("column").count()
+    large = sorted(row["column"] for row in counts.where(F.col("count") > limit).collect())
     if large:
         raise ValueError(f"too many distinct values for one-hot encoding: {large}")
 

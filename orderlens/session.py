@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(
@@ -22,6 +23,7 @@ def local_session(
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -49,7 +51,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder so that later jobs see the very same rows.
 
-    The copy outlives lost executors: it is read back from storage, never recomputed.
+    The copy outlives lost executors: it is read back from storage, never recomputed. With
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes it once nothing refers to it.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -57,5 +60,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_side(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """``df`` as a join side: computed once, and broadcast if it has at most ``limit`` rows."""
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.count() <= limit else kept
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path, on whatever file system it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderlens.columns import SPELLINGS
-from orderlens.functions.expressions import nan_to_null
+from orderlens.functions.expressions import nan_to_null, quoted
 
 # Texts that stand for a missing value in a CSV file.
 MISSING_TEXTS = [
@@ -31,6 +31,11 @@ def format_of(path: str) -> str:
     return next((fmt for ending, fmt in FORMATS.items() if name.endswith(ending)), "csv")
 
 
+# How a whole number and a decimal number may be written.
+WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+DECIMAL = r"(?i)^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?\s*$|^\s*[+-]?inf(inity)?\s*$"
+
+
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 if every line of the file is valid UTF-8, else ISO-8859-1, which decodes any byte.
 
@@ -40,49 +45,71 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
 
 
+def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
+    """True if some line has an odd number of quotes: then a quoted text goes on in the next line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     schema: T.StructType | None = None,
     encoding: str | None = None,
+    multi_line: bool | None = None,
 ) -> DataFrame:
-    """CSV with a header line. Without an encoding it is detected, without a schema inferred."""
+    """CSV with a header line. Without an encoding it is detected, without a schema inferred.
+
+    A schema is matched by the names of the header, whatever the order of the columns; a name that
+    the file lacks is an error. ``multi_line`` allows line breaks inside quotes, at the price of one
+    task per file; by default it is used only where the file has such breaks.
+    """
+    if multi_line is None:
+        multi_line = has_quoted_breaks(spark, path)
     reader = spark.read.option("header", True).option("encoding", encoding or detect_encoding(spark, path))
-    reader = reader.option("escape", '"')
-    if schema is not None:
-        return nan_to_null(reader.schema(schema).csv(path))
-    return infer_types(reader.csv(path))
+    texts = reader.option("escape", '"').option("multiLine", multi_line).csv(path)
+    if schema is None:
+        return infer_types(texts)
+    absent = missing_columns(texts, schema.names)
+    if absent:
+        raise ValueError(f"columns of the schema are missing in the file: {absent}")
+    return nan_to_null(texts.select(*[_typed(f.name, f.dataType).alias(f.name) for f in schema]))
+
+
+def _value(name: str) -> Column:
+    """A text of a file, NULL where it stands for a missing value."""
+    return F.when(~F.trim(quoted(name)).isin(MISSING_TEXTS), quoted(name))
+
+
+def _typed(name: str, kind: T.DataType) -> Column:
+    """A text as a value of the given type; NULL if it is not written as one."""
+    if isinstance(kind, T.StringType):
+        return _value(name)
+    pattern = WHOLE if isinstance(kind, T.IntegralType) else DECIMAL if isinstance(kind, T.NumericType) else None
+    value = _value(name) if pattern is None else F.when(_value(name).rlike(pattern), F.trim(_value(name)))
+    return value.try_cast(kind)
 
 
 def infer_types(df: DataFrame) -> DataFrame:
     """Type text columns by what all their values allow: bigint, else double, else text.
 
-    Missing-value texts become NULL first. All columns are judged in one aggregate.
+    Missing-value texts become NULL first. A number must be written as one: codes such as ``1D``
+    stay texts. All columns are judged in one aggregate.
     """
     names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     if not names:
         return nan_to_null(df)
-
-    def value(name):
-        column = F.col(f"`{name}`")
-        return F.when(~F.trim(column).isin(MISSING_TEXTS), column)
-
+    whole, decimal = T.LongType(), T.DoubleType()
     judged = df.agg(
-        *[F.count(value(c)).alias(f"n{i}") for i, c in enumerate(names)],
-        *[F.count(value(c).try_cast("bigint")).alias(f"l{i}") for i, c in enumerate(names)],
-        *[F.count(value(c).try_cast("double")).alias(f"d{i}") for i, c in enumerate(names)],
-        *[F.count_if(value(c).rlike(r"[.eE]")).alias(f"p{i}") for i, c in enumerate(names)],
+        *[F.count(_value(c)).alias(f"n{i}") for i, c in enumerate(names)],
+        *[F.count(_typed(c, whole)).alias(f"l{i}") for i, c in enumerate(names)],
+        *[F.count(_typed(c, decimal)).alias(f"d{i}") for i, c in enumerate(names)],
     ).first()
-    typed = {}
+    types = {}
     for i, name in enumerate(names):
         filled = judged[f"n{i}"]
-        if filled and judged[f"l{i}"] == filled and not judged[f"p{i}"]:
-            typed[name] = value(name).try_cast("bigint")
-        elif filled and judged[f"d{i}"] == filled:
-            typed[name] = value(name).try_cast("double")
-        else:
-            typed[name] = value(name)
-    return nan_to_null(df.withColumns(typed))
+        types[name] = T.StringType() if not filled else whole if judged[f"l{i}"] == filled else decimal if judged[f"d{i}"] == filled else T.StringType()
+    return nan_to_null(df.select(*[_typed(c, types[c]).alias(c) if c in types else quoted(c) for c in df.columns]))
 
 
 def load_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +53,7 @@ def order_items(
     folder: str,
     columns: Sequence[str] | None = None,
     clean_nan: bool = False,
+    pick: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Order items with the asked columns, reading only the tables these columns need.
 
@@ -63,6 +64,9 @@ def order_items(
     into an inner one and reaches the dimension's scan. No join carries a broadcast hint:
     Spark broadcasts a dimension only where its size is below the session's threshold, and
     adaptive execution splits hot keys of the shuffled ones.
+
+    ``pick`` chooses order lines before any join, as the joins keep every line: it gets them with
+    the columns that need no other table and gives some of them back.
     """
     wanted = list(columns) if columns is not None else ITEM_COLUMNS
     unknown = [c for c in wanted if c not in _DEFINITIONS]
@@ -80,6 +84,10 @@ def order_items(
     if "row_id" in wanted:
         rows = rows.withColumn("row_id", _DEFINITIONS["row_id"][1]())
 
+    if pick is not None:
+        plain = {name: make() for name, (needs, make) in _DEFINITIONS.items() if not needs and name != "row_id"}
+        rows = pick(rows.withColumns(plain)).drop(*plain)
+
     def attach(base: DataFrame, name: str | None) -> DataFrame:
         for table, (parent, outer_key, own_key) in _LINKS.items():
             if parent == name and table in needed:
