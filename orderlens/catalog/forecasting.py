@@ -337,9 +337,14 @@ def forecast_test_rows(spark, folder):
 @query()
 def forest_cross_validation(spark, folder):
     """R15"""
-    prepared = _prepared(spark, folder, trailing=False)
-    train = files.keep_for_reuse(prepared.part("train").select("features", "sales", "fold"))
-    return models.cross_validate(train, preparation.FOLDS, trees=QUICK.fold_trees)
+    items = order_items(spark, folder, [*FEATURES, "sales", *ITEM_KEY])
+    rows = preparation.with_fold(preparation.with_split(items, ITEM_KEY), ITEM_KEY)
+    return models.cross_validate(
+        files.keep_for_reuse(rows.where(F.col("split") == "train")),
+        preparation.FOLDS,
+        trees=QUICK.fold_trees,
+        prepare=lambda inside: preparation.fit_preparation(inside, trailing=False),
+    )
 
 
 @query(
@@ -371,17 +376,19 @@ def feature_importances(spark, folder):
 
 @query(on_items("SELECT count(*) AS n, 0.0::DOUBLE AS largest_difference FROM items"))
 def saved_and_loaded_model(spark, folder):
-    """SNK5, SNK6: a stored pipeline predicts the same after loading."""
+    """SNK5, SNK6: the loaded bundle, preparation and all linear members, predicts the same from the raw rows."""
+    names = models.MODEL_NAMES[3:]
     prepared = _prepared(spark, folder, trailing=False)
-    train = prepared.part("train").select("features", "sales")
-    pipeline = PipelineModel([*prepared.preparation.stages, *models.fit_models(train, ["ridge"])])
+    train = files.keep_for_reuse(prepared.part("train").select("features", "sales"))
+    pipeline = PipelineModel([*prepared.preparation.stages, *models.fit_models(train, names)])
+    train.unpersist()
     path = scratch_path(spark, "bundle")
     bundles.save_bundle(bundles.Bundle(pipeline), path)
-    first = bundles.score(bundles.Bundle(pipeline), prepared.rows).withColumnRenamed("ridge", "before")
-    both = bundles.load_bundle(spark, path).pipeline.stages[-1].transform(first.select("features", "before"))
-    return both.agg(
-        F.count("*").alias("n"), F.max(F.abs(F.col("before") - F.col("ridge"))).alias("largest_difference")
-    )
+    first = bundles.score(bundles.Bundle(pipeline), prepared.rows)
+    first = first.select(*prepared.rows.columns, *[F.col(n).alias(f"before_{n}") for n in names])
+    both = bundles.score(bundles.load_bundle(spark, path), first)
+    off = F.greatest(*[F.abs(F.col(f"before_{n}") - F.col(n)) for n in names])
+    return both.agg(F.count("*").alias("n"), F.max(off).alias("largest_difference"))
 
 
 # ---- scores and intervals, on closed-form models

@@ -22,7 +22,8 @@ _POSITION_BITS = 33  # monotonically_increasing_id keeps the position in its low
 
 # Distinct values of a column up to which its rank table (two numbers a row) is broadcast.
 BROADCAST_VALUES = 300_000
-# Values that hold at least this share of the rows: there can be at most 1/share of them.
+# Values that hold at least this share of the rows, or a tenth of an even task, are hot: there can
+# be at most 1/share or ten times the number of tasks of them.
 HOT_SHARE = 1 / 1000
 SALTS = 1024
 
@@ -113,6 +114,7 @@ def percentile_rank(
         "_less", F.col("_start") + F.coalesce(F.sum("_rows").over(window), F.lit(0))
     )
 
+    ranked = cut_lineage(ranked)  # read once for each column, and for its hot and its other values
     result = df
     for i, name in enumerate(columns):
         out = f"{name}{suffix}"
@@ -125,7 +127,7 @@ def percentile_rank(
             small = F.broadcast(table.drop("_rows"))
             result = result.join(small, F.col(f"`{name}`") == F.col("_value"), "left").drop("_value")
         else:
-            result = _join_skewed(result, table, name, out, max(2.0, total[i] * hot_share), spread_by or df.columns)
+            result = _join_skewed(result, table, name, out, max(2.0, total[i] * min(hot_share, 0.1 / parts)), spread_by or df.columns)
     return result
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import Estimator, Model, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import Estimator, Model, PipelineModel, Transformer
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.mllib.linalg.distributed import RowMatrix
@@ -227,15 +228,29 @@ def fit_forecaster(
 
 
 def cross_validate(
-    prepared: DataFrame, folds: int, label: str = TARGET, trees: int = FOLD_TREES, fold: str = "fold"
+    rows: DataFrame,
+    folds: int,
+    label: str = TARGET,
+    trees: int = FOLD_TREES,
+    fold: str = "fold",
+    prepare: Callable[[DataFrame], Transformer] | None = None,
 ) -> DataFrame:
-    """R² per fold of a forest fitted on the other folds."""
+    """R² per fold of a forest fitted on the other folds.
+
+    ``prepare`` learns the preparation from the other folds too, so that no scale, curve or encoding
+    has seen the rows that it is judged on; without it ``rows`` must have a ``features`` vector.
+    """
     scores = []
     for k in range(folds):
-        model = random_forest(label, trees, "predicted", leaf_rows=1).fit(prepared.where(F.col(fold) != k))
-        tested = model.transform(prepared.where(F.col(fold) == k))
+        inside, outside = rows.where(F.col(fold) != k), rows.where(F.col(fold) == k)
+        if prepare is not None:
+            stage = prepare(inside)
+            inside, outside = (stage.transform(part).select("features", label) for part in (inside, outside))
+        inside = inside.persist(StorageLevel.MEMORY_AND_DISK)
+        tested = random_forest(label, trees, "predicted", leaf_rows=1).fit(inside).transform(outside)
         scores.append((k, tested.agg(r_squared(F.col(label), F.col("predicted"))).first()[0]))
-    return prepared.sparkSession.createDataFrame(scores, f"{fold} int, r2 double")
+        inside.unpersist()
+    return rows.sparkSession.createDataFrame(scores, f"{fold} int, r2 double")
 
 
 def feature_importance(
