@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.llm import decontaminate, language, mixing, pii, simhash
-from orderlens.session import scratch_path
+from orderlens.session import remove, scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -56,10 +56,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet and read by the next."""
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    """All stages over ``documents``; each result is written as Parquet and read by the next.
+
+    A result is deleted when the next one is written; that of the last but one stage stays, as the
+    returned DataFrame reads it.
+    """
+    docs, read = spark.read.parquet(f"{folder}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)
         stage(spark, docs, folder).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if read is not None:
+            remove(spark, read)  # nothing reads it any more
+        docs, read = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, folder)

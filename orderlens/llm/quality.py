@@ -227,4 +227,5 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataF
 def op1_quality(spark, folder: str) -> DataFrame:
     """Posterior, score and verdict of all documents."""
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
-    return score(docs, learn(docs)).select("doc_id", "posterior", "score", "predicted")
+    found = score(docs, learn(docs))
+    return found.select("doc_id", "posterior", "score", "predicted", (F.col("predicted") == 1).alias("kept"))
