@@ -322,6 +322,93 @@ def elastic_net_line(spark, folder):
     )
 
 
+@query(
+    on_items(
+        "SELECT round(xy / (xx + weight / noise), 2) AS coefficient, round(my - xy / (xx + weight / noise) * mx, 1) AS intercept, n "
+        "FROM steps, moments WHERE i = 60",
+        "moments AS (SELECT count(*) AS n, regr_sxx(sales, quantity) AS xx, regr_sxy(sales, quantity) AS xy, "
+        "regr_syy(sales, quantity) AS yy, avg(sales) AS my, avg(quantity) AS mx FROM items)",
+        "steps AS (SELECT 0 AS i, 1.0::DOUBLE AS weight, n / yy AS noise FROM moments UNION ALL "
+        "SELECT i + 1, (used + 2e-6) / (c * c + 2e-6), (n - used + 2e-6) / (yy - 2 * c * xy + c * c * xx + 2e-6) FROM ("
+        "SELECT i, xy / (xx + weight / noise) AS c, noise * xx / (weight + noise * xx) AS used, n, xx, xy, yy "
+        "FROM steps, moments WHERE i < 60))",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
+def bayesian_ridge_line(spark, folder):
+    """R6 with one feature, where the evidence updates need three sums only."""
+    rows = _one_feature(spark, folder)
+    n, sd = models.label_stats(rows)
+    fit = models.bayesian_ridge(rows, n, sd).fit(rows)
+    line = rows.agg(
+        F.lit(float(fit.coefficients[0])).alias("coefficient"),
+        F.lit(fit.intercept).alias("intercept"),
+        F.count("*").alias("n"),
+    )
+    return rounded(line, {"coefficient": 2, "intercept": 1})
+
+
+def _step(spark, folder):
+    """A label that is one value for early and another for late deliveries, and a feature that says nothing."""
+    items = order_items(spark, folder, ["days_sched"]).select(
+        "days_sched", F.lit(1.0).alias("nothing"), F.when(F.col("days_sched") <= 3, 40.0).otherwise(90.0).alias("sales")
+    )
+    return files.keep_for_reuse(VectorAssembler(inputCols=["days_sched", "nothing"], outputCol="features").transform(items))
+
+
+@query(
+    on_items(
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS model, days_sched, count(*) AS n, CASE WHEN days_sched <= 3 THEN 40.0 ELSE 90.0 END::DOUBLE "
+            "AS predicted FROM items GROUP BY days_sched"
+            for name in models.MODEL_NAMES[:3]
+        )
+    )
+)
+def trees_on_a_step(spark, folder):
+    """R1, R2, R3 where the answer is known: each model must find the step, whatever rows its trees draw."""
+    rows, names = _step(spark, folder), models.MODEL_NAMES[:3]
+    fitted = PipelineModel(models.fit_models(rows, names, sizes=QUICK)).transform(rows)
+    lines = F.array(*[F.struct(F.lit(name).alias("model"), F.round(name, 6).alias("predicted")) for name in names])
+    each = fitted.select("days_sched", F.inline(lines))
+    return each.groupBy("model", "days_sched", "predicted").agg(F.count("*").alias("n")).select("model", "days_sched", "n", "predicted")
+
+
+@query(
+    on_items(
+        "SELECT feature, forest, boosted, combined, count(*) AS n FROM items, (VALUES "
+        "('days_sched', 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE), ('nothing', 0.0, 0.0, 0.0)) AS v(feature, forest, boosted, combined) GROUP BY ALL"
+    )
+)
+def importance_of_one_feature(spark, folder):
+    """R16 where one feature explains everything and the other is constant."""
+    rows = _step(spark, folder)
+    found = models.feature_importance(rows, ["days_sched", "nothing"], trees=QUICK.importance_trees)
+    scores = F.struct(*[F.round(c, 6).alias(c) for c in ("forest", "boosted", "combined")])
+    return found.select("feature", scores.alias("s"), F.lit(rows.count()).alias("n")).select("feature", "s.*", "n")
+
+
+@query(on_items("SELECT days_sched, round(8 * sqrt(pi() / 2), 6) AS sigma, count(*) AS n FROM items GROUP BY days_sched"))
+def sigma_of_constant_errors(spark, folder):
+    """R14 where every prediction is off by 8: the error model must say so for every row."""
+    rows = _step(spark, folder).withColumn("prediction", F.col("sales") + F.when(F.col("days_sched") % 2 == 0, 8.0).otherwise(-8.0))
+    scored = models.interval_stage().transform(models.fit_sigma(rows, rounds=QUICK.rounds).transform(rows))
+    return scored.groupBy("days_sched", F.round("sigma", 6).alias("sigma")).agg(F.count("*").alias("n"))
+
+
+@query(
+    on_items(
+        "SELECT feature, round(r * r / (1 - r * r) * (n - 2), 2) AS f_score FROM ("
+        + " UNION ALL ".join(f"SELECT '{c}' AS feature, corr({c}, sales) AS r, count(*) AS n FROM items" for c in NUMERIC if c != "sales_per_customer")
+        + ") ORDER BY f_score DESC, feature LIMIT 2"
+    )
+)
+def top_features_by_f_score(spark, folder):
+    """L4: the first features by score."""
+    names = [c for c in NUMERIC if c != "sales_per_customer"]
+    scores = evaluation.f_scores(order_items(spark, folder, [*names, "sales"]), names, "sales")
+    return rounded(paging.top_features(scores, "f_score", 2), {"f_score": 2})
+
+
 @query()
 def forecast_test_rows(spark, folder):
     """The whole forecaster on the test rows, ridge as the primary model."""
