@@ -20,6 +20,7 @@ Columns of the input with the name of a result are replaced.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -87,21 +88,30 @@ def features(data: np.ndarray, limits: np.ndarray, wanted: np.ndarray | None = N
     return pair >> BITS, pair & ((1 << BITS) - 1)
 
 
-def all_features(texts: list[str | None], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def by_run(texts: list[str | None], wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     data, limits = encoded(texts)
-    parts = []
     for first, end in runs(limits):
         low = limits[first]
         doc, feature = features(data[low : limits[end]], limits[first : end + 1] - low, wanted)
-        parts.append((doc + first, feature))
+        yield doc + first, feature
+
+
+def chosen_features(texts: list[str | None], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a text and one of the ``wanted`` features."""
+    parts = list(by_run(texts, wanted))
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-def selected(doc: np.ndarray, feature: np.ndarray, label: np.ndarray, most: int, least_rows: int = 3) -> np.ndarray:
-    """The features that tell the labels apart best, by the chi-square of their presence."""
+def selected(texts: list[str | None], label: np.ndarray, most: int, least_rows: int = 3) -> np.ndarray:
+    """The features that tell the labels apart best, by the chi-square of their presence.
+
+    Counts are kept, not pairs: a run of texts at a time is all that memory holds.
+    """
     size, ones = 1 << BITS, label.sum()
-    a = np.bincount(feature, label[doc], minlength=size)
-    n = np.bincount(feature, minlength=size)
+    a, n = np.zeros(size), np.zeros(size)
+    for doc, feature in by_run(texts):
+        a += np.bincount(feature, label[doc], minlength=size)
+        n += np.bincount(feature, minlength=size)
     expected = n * ones / len(label)
     spread = expected * (1 - ones / len(label)) * (1 - n / len(label))
     chi = np.where(n >= least_rows, (a - expected) ** 2 / np.maximum(spread, 1e-9), 0)
@@ -118,14 +128,13 @@ def fit(texts: list[str], label: np.ndarray, shares: dict[int, float], penalty:
     if len(set(label.tolist())) < 2:
         rate = min(max(rate, 1e-6), 1 - 1e-6)
         return ToxicityModel(np.zeros(1 << BITS, np.float32), float(np.log(rate / (1 - rate))))
-    doc, feature = all_features(texts)
-    keep = selected(doc, feature, label, most)
+    keep = selected(texts, label, most)
     place = np.cumsum(keep) - 1
-    inside = keep[feature]
-    doc, feature = doc[inside], place[feature[inside]]
+    doc, feature = chosen_features(texts, keep)
+    feature = place[feature]
     other = [swapped(t or "", terms if terms is not None else swaps()) for t in texts]
     changed = np.array([a != (b or "") for a, b in zip(other, texts)])
-    doc2, feature2 = all_features(other, keep)
+    doc2, feature2 = chosen_features(other, keep)
     feature2 = place[feature2]
     weight = np.where(label == 1, shares[1] / label.mean(), shares[0] / (1 - label.mean()))
     weight /= weight.sum()
