@@ -3,15 +3,15 @@
 E-mail addresses, IP addresses, card and phone numbers are found by pattern and check (``KINDS``).
 Each found value is a protected entity. The terms (words of three letters or more) within ``reach``
 characters of a mention are its context, and the corpus tells how much a term t reveals of an
-entity e: with c texts where t stands near e, n(t) texts with t, n(e) texts with e, of N,
+entity e: with c documents where t stands near e, n(t) with t, n(e) with e, of N,
 
     PMI(t, e) = log2(c N / (n(t) n(e))),   disclosure = PMI(t, e) / log2(N / n(e)).
 
-Disclosure is 1 if every text with the term is about the entity. From ``generalise`` on, the term
+Disclosure is 1 if every document with the term is about the entity. From ``generalise`` on, the term
 near a mention is replaced by a general tag, from ``remove`` on it is taken out. A pair must be
 seen in ``support`` different contexts, so that copies of one text prove nothing.
 
-Equal texts count once. Patterns, positions, Luhn sums, counts and replacements are DataFrame
+Patterns, positions, Luhn sums, counts and replacements are DataFrame
 functions; nothing runs in Python. Positions are code points, ends exclusive.
 
 Edge cases: a null text is empty and has no spans. Repeated rows get repeated results. Rows without
@@ -137,46 +137,56 @@ def terms_in(part: Column, offset: Column, drop_first: Column, drop_last: Column
     return F.transform(whole, lambda t: F.struct(t["term"].alias("term"), (t["start"] + offset).alias("start"), (t["stop"] + offset).alias("stop")))
 
 
-def contexts(base: DataFrame, reach: int = REACH) -> DataFrame:
-    """(h1_, h2_, kind, entity, context, term, start, stop): the terms around each mention."""
-    mention = base.where("base_ is not null").select("h1_", "h2_", F.explode("base_").alias("m")).select("h1_", "h2_", "m.*")
+def mentions(base: DataFrame) -> DataFrame:
+    """(h1_, h2_, base_, rows): each text with spans once, and how many documents have it."""
+    return base.where("base_ is not null").groupBy("h1_", "h2_").agg(F.first("base_").alias("base_"), F.count(F.lit(1)).alias("rows"))
+
+
+def contexts(mentioning: DataFrame, reach: int = REACH) -> DataFrame:
+    """(h1_, h2_, rows, kind, entity, context, term, start, stop): the terms around each mention."""
+    mention = mentioning.select("h1_", "h2_", "rows", F.explode("base_").alias("m")).select("h1_", "h2_", "rows", "m.*")
     before = terms_in(F.col("before"), F.col("start") - F.length("before"), F.length("before") == reach, F.lit(False))
     after = terms_in(F.col("after"), F.col("stop"), F.lit(False), F.length("after") == reach)
-    found = mention.select("h1_", "h2_", "kind", "entity", F.xxhash64("before", "after").alias("context"), F.explode(F.concat(before, after)).alias("t"))
-    return found.select("h1_", "h2_", "kind", "entity", "context", "t.*").distinct()
+    terms = F.explode(F.concat(before, after)).alias("t")
+    context = F.xxhash64("before", "after").alias("context")
+    return mention.select("h1_", "h2_", "rows", "kind", "entity", context, terms).select("*", "t.*").drop("t").distinct()
 
 
-def disclosures(rows: DataFrame, base: DataFrame, reach: int = REACH, support: int = SUPPORT, least: float = GENERALISE, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+def disclosures(rows: DataFrame, mentioning: DataFrame, reach: int = REACH, support: int = SUPPORT, least: float = GENERALISE, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(kind, entity, term, disclosure) of the pairs that reveal ``least`` or more.
 
-    ``rows`` has all texts (``text``), ``base`` their digests and spans.
+    ``rows`` has all texts (``text``), ``mentioning`` those with spans.
     """
-    near = contexts(base, reach)
-    seen = near.groupBy("kind", "entity", "term", "h1_", "h2_").agg(F.min("context").alias("low"), F.max("context").alias("high"))
-    # contexts differ if the texts' smallest or largest ones do; two are enough to tell one from several
+    near = contexts(mentioning, reach)
+    seen = near.groupBy("kind", "entity", "term", "h1_", "h2_").agg(
+        F.first("rows").alias("rows"), F.min("context").alias("low"), F.max("context").alias("high")
+    )
+    # contexts differ if the texts' smallest or largest ones do
     pairs = seen.groupBy("kind", "entity", "term").agg(
-        F.count(F.lit(1)).alias("together"), F.count_distinct("low").alias("lows"), F.min("low").alias("low"), F.max("high").alias("high")
+        F.sum("rows").alias("together"), F.count_distinct("low").alias("lows"), F.min("low").alias("low"), F.max("high").alias("high")
     )
     several = F.greatest(F.col("lows"), F.when(F.col("low") != F.col("high"), 2).otherwise(1))
     pairs = cut_lineage(pairs.where(several >= support).select("kind", "entity", "term", "together"))
-    texts = base.groupBy("h1_", "h2_").agg(F.count(F.lit(1)).alias("rows")).count()
-    entities = base.where("base_ is not null").select("h1_", "h2_", F.explode("base_").alias("m")).select("h1_", "h2_", "m.kind", "m.entity").distinct()
-    entities = entities.groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("with_entity"))
+    total = float(max(rows.count(), 1))
+    each = mentioning.select("h1_", "h2_", "rows", F.explode("base_").alias("m")).select("h1_", "h2_", "rows", "m.kind", "m.entity").distinct()
+    entities = each.groupBy("kind", "entity").agg(F.sum("rows").alias("with_entity"))
     terms = cut_lineage(pairs.select("term").distinct())
     small = terms.count() <= broadcast_terms
-    words = rows.select(*digest(F.col("text")), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    spoken = words.join(F.broadcast(terms) if small else terms, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    # each document has a term once here, so counting needs no more than partial sums by term
+    spoken = words.join(F.broadcast(terms) if small else terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
     counted = pairs.join(entities, ["kind", "entity"]).join(spoken, "term")
-    information = F.log2(F.lit(float(max(texts, 1))) / F.col("with_entity"))
-    pmi = F.log2(F.col("together") * F.lit(float(max(texts, 1))) / (F.col("with_term") * F.col("with_entity")))
+    information = F.log2(F.lit(total) / F.col("with_entity"))
+    pmi = F.log2(F.col("together") * F.lit(total) / (F.col("with_term") * F.col("with_entity")))
     revealed = F.when(information > 0, pmi / information).otherwise(0.0)
     return counted.select("kind", "entity", "term", F.least(revealed, F.lit(1.0)).alias("disclosure")).where(F.col("disclosure") >= least)
 
 
 def term_spans(rows: DataFrame, base: DataFrame, remove: float = REMOVE, **how) -> DataFrame:
     """(h1_, h2_, terms_): the spans of revealing terms of each text that has some."""
-    revealing = disclosures(rows, base, **how)
-    near = contexts(base, how.get("reach", REACH)).join(revealing, ["kind", "entity", "term"])
+    mentioning = mentions(base)
+    revealing = disclosures(rows, mentioning, **how)
+    near = contexts(mentioning, how.get("reach", REACH)).join(revealing, ["kind", "entity", "term"])
     order = F.when(F.col("disclosure") >= remove, len(KINDS) + 1).otherwise(len(KINDS))
     name = F.when(F.col("disclosure") >= remove, "removed").otherwise("generalised")
     one = near.groupBy("h1_", "h2_", "start", "stop").agg(F.max(F.struct(order.alias("order"), name.alias("kind"))).alias("m"))
