@@ -217,8 +217,15 @@ def build(triples: tuple[np.ndarray, np.ndarray], longer: list[tuple[np.ndarray,
 
 
 def most_frequent(rows: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` rows with the largest ``n``."""
-    return rows.orderBy(F.desc("n"), *[c for c in rows.columns if c != "n"]).limit(limit)
+    """The rows with the largest ``n``: as many whole bands of an eighth of a doubling as fit into ``limit``."""
+    band = F.floor(F.log2("n") * 8)
+    cut, room = None, limit
+    for row in sorted(rows.groupBy(band.alias("band")).count().collect(), key=lambda r: -r.band):
+        room -= row["count"]
+        if room < 0:
+            break
+        cut = row.band
+    return rows.where(F.lit(False) if cut is None else band >= cut)
 
 
 def learn_bytes(counts: DataFrame, contexts: int = CONTEXTS) -> ByteModel:
@@ -330,7 +337,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("logs") / copies - tokens * F.lit(float(np.log10(total + distinct + 1)))).alias("base_score"),
         (F.col("ppm") / copies).alias("score"),
-        (-F.col("ppm") / F.col("bytes") * float(np.log2(10)) * F.when(F.col("bytes") > 0, 1)).alias("bits_per_byte"),
+        (F.when(F.col("bytes") > 0, -F.col("ppm") / F.col("bytes")) * float(np.log2(10))).alias("bits_per_byte"),
     )
 
 
