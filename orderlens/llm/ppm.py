@@ -42,7 +42,7 @@ from orderlens.session import cut_lineage
 
 END, ORDER = 0xFF, 4
 END_TOKEN = b""
-CONTEXTS, FREQUENT = 1 << 16, 200_000
+CONTEXTS, FREQUENT = 1 << 15, 200_000
 HELD_WORDS, HELD_GRAMS = 300_000, 1 << 21
 
 
@@ -97,6 +97,8 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
             for first, end in runs(limits):
                 low = limits[first]
                 parts.append(np.unique(grams(data[low : limits[end]], limits[first : end + 1] - low), return_counts=True))
+                if sum(len(p[0]) for p in parts) > HELD_GRAMS:
+                    parts = [summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
             kept = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
             if len(kept[0]) > HELD_GRAMS:
                 yield codes(kept)
