@@ -7,13 +7,12 @@ of n counts and q different bytes gives a byte with count c the probability c /
 escape q / (n + q) to the next shorter context (method C), where the bytes of the longer contexts
 are excluded from counts and escape. Below the empty context all bytes not excluded are equal.
 
-Since exclusions depend on the context alone, every probability is computed once, when the model
-is built, into a dense table over the bytes seen; scoring a text is a step down the trie and a
-lookup per byte. Contexts of up to two bytes are complete (at most 256 ** 3 numbers); of those of
-each greater length the model keeps the most frequent, up to ``contexts`` of them (the trie's
-capacity, a parameter), and all others escape to a shorter one. That bounds the broadcast at
-2 x 256 ** 3 + 2 x 257 x contexts x (ORDER - 2) numbers of four bytes; it is far smaller as texts
-use some hundred different bytes.
+All contexts are kept, however many there are: their counts are tables, and the probability of each
+run of ``ORDER`` + 1 bytes that any text has, learned or not, is found by joining that run with the
+counts of its contexts. Exclusions depend on the context alone, so of a context no more is needed
+than its counts in all, how many bytes it has and how often the next shorter context has those.
+Scoring is a lookup by run of bytes: the ``broadcast_grams`` most frequent ones are broadcast, all
+others meet their probability in a join, as rare words do. The parameter changes no score.
 
 The base score is a unigram model over words with add-one smoothing. Counts of the ``frequent``
 words are broadcast (bounded by the parameter); all other words of a document meet their counts in
@@ -29,10 +28,10 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +41,7 @@ from orderlens.session import cut_lineage
 
 END, ORDER = 0xFF, 4
 END_TOKEN = b""
-CONTEXTS, FREQUENT = 1 << 15, 200_000
+BROADCAST_GRAMS, FREQUENT = 1 << 20, 200_000
 HELD_WORDS, HELD_GRAMS = 300_000, 1 << 21
 
 
@@ -58,13 +57,13 @@ def padded(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, at, owner
 
 
-def grams(data: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """Each predicted byte with the ``ORDER`` bytes before it, as one number."""
-    line, at, _ = padded(data, limits)
+def grams(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each predicted byte with the ``ORDER`` bytes before it, as one number; its document."""
+    line, at, owner = padded(data, limits)
     line, code = line.astype(np.uint64), np.zeros(len(at), np.uint64)
     for back in range(ORDER, -1, -1):
         code = (code << np.uint64(8)) | line[at - back]
-    return code
+    return code, owner
 
 
 def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,9 +73,10 @@ def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes[first], np.add.reduceat(counts, first) if len(codes) else counts
 
 
-def corpus_counts(texts: DataFrame) -> DataFrame:
-    """(token, gram, n): how often each word, the end token and each run of ``ORDER`` + 1 bytes is found.
+def corpus_counts(rows: DataFrame) -> DataFrame:
+    """(token, gram, n): how often each word, the end token and each run of ``ORDER`` + 1 bytes is learned.
 
+    Runs of bytes that only rows held out have are there with ``n`` = 0; words are those learned.
     Tasks count in memory of bounded size and give out what they have whenever it is full.
     """
 
@@ -86,23 +86,30 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
             columns = [pa.array(list(found), pa.binary()), pa.nulls(n, pa.int64()), pa.array(list(found.values()), pa.int64())]
             return pa.RecordBatch.from_arrays(columns, ["token", "gram", "n"])
 
+        def halves(batch: pa.RecordBatch) -> list[tuple[pa.RecordBatch, bool]]:
+            learned = pc.fill_null(pc.invert(batch.column(1)), False)
+            return [(part, kind) for part, kind in ((batch.filter(learned), True), (batch.filter(pc.invert(learned)), False)) if part.num_rows]
+
         def codes(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
             columns = [pa.nulls(len(found[0]), pa.binary()), pa.array(found[0].astype(np.int64)), pa.array(found[1])]
             return pa.RecordBatch.from_arrays(columns, ["token", "gram", "n"])
 
         seen, kept = Counter(), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        for batch in batches:
+        for batch, learned in (part for whole in batches for part in halves(whole)):
             data, limits = text_bytes(batch.column(0))
             parts = [kept]
             for first, end in runs(limits):
                 low = limits[first]
-                parts.append(np.unique(grams(data[low : limits[end]], limits[first : end + 1] - low), return_counts=True))
+                code, n = np.unique(grams(data[low : limits[end]], limits[first : end + 1] - low)[0], return_counts=True)
+                parts.append((code, n if learned else np.zeros_like(n)))
                 if sum(len(p[0]) for p in parts) > HELD_GRAMS:
                     parts = [summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
             kept = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
             if len(kept[0]) > HELD_GRAMS:
                 yield codes(kept)
                 kept = (kept[0][:0], kept[1][:0])
+            if not learned:
+                continue
             seen[END_TOKEN] += batch.num_rows
             raw = data.tobytes().lower()
             for first, end in zip(limits[:-1], limits[1:]):
@@ -115,107 +122,78 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
         if len(kept[0]):
             yield codes(kept)
 
-    found = texts.select("text").mapInArrow(run, "token binary, gram long, n long")
+    found = rows.select("text", "held_out").mapInArrow(run, "token binary, gram long, n long")
     return found.groupBy("token", "gram").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class ByteModel:
-    """log10 of every probability, in ``table``.
+def last(size: int):
+    """The last ``size`` bytes of ``gram``."""
+    return F.col("gram").bitwiseAND(F.lit((1 << (8 * size)) - 1))
 
-    A context of two symbols is node a * width + b. ``child[k]`` leads from a node of k + 2 symbols,
-    followed by one more, to the node of all of them, or to -1 where the model does not keep it.
-    ``offset[k]`` is where the rows of the nodes of k + 2 symbols begin in the table.
-    """
 
-    symbol: np.ndarray
-    width: int
-    child: list[np.ndarray]
-    offset: list[int]
-    table: np.ndarray
-
-    def logs(self, data: np.ndarray, limits: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each text."""
-        line, at, owner = padded(data, limits)
-        line = self.symbol[line]
-        node = np.zeros(len(line), np.int64)  # of the two symbols before each place
-        node[2:] = line[:-2] * self.width + line[1:-1]
-        start = node * self.width
-        for child, offset in zip(self.child, self.offset[1:]):
-            longer = np.full(len(line), -1, np.int64)
-            longer[1:] = np.where(node[:-1] >= 0, child[node[:-1] * self.width + line[:-1]], -1)
-            node = longer
-            start = np.where(node >= 0, offset + node * self.width, start)
-        return np.bincount(owner, self.table[start[at] + line[at]], minlength=len(limits) - 1)
-
-
-def safe_log(x: np.ndarray) -> np.ndarray:
-    return np.log10(np.maximum(x, 1e-300))
-
-
-def step(count: np.ndarray, excluded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log probability of each byte of a context without those excluded, which it has, log of the escape."""
-    count = np.where(excluded, 0, count)
-    has = count > 0
-    n, q = count.sum(-1, keepdims=True), has.sum(-1, keepdims=True)
-    return safe_log(count / np.maximum(n + q, 1)), has, np.where(q > 0, safe_log(q / np.maximum(n + q, 1)), 0.0)
-
-
-def build(triples: tuple[np.ndarray, np.ndarray], longer: list[tuple[np.ndarray, np.ndarray]]) -> ByteModel:
-    """The model from (gram, count) of three bytes, and of 4, 5 ... bytes for the contexts that are kept."""
-    gram, n = triples
-    used = np.unique(np.r_[gram & 0xFF, (gram >> 8) & 0xFF, (gram >> 16) & 0xFF, END]).astype(np.int64)
-    width = len(used) + 1  # the last symbol stands for every byte never seen
-    symbol = np.full(256, width - 1, np.int64)
-    symbol[used] = np.arange(len(used))
-    counts = np.zeros((width, width, width))
-    np.add.at(counts, tuple(symbol[(gram >> shift) & 0xFF] for shift in (16, 8, 0)), n)
-
-    one, none = counts.sum(0), counts.sum((0, 1))
-    left = 256 - (none > 0).sum()
-    lowest = -np.log10(left) if left else 0.0
-    # what lies below an escape depends on the context alone: it has seen all that longer ones have
-    log, has, escape = step(np.broadcast_to(none, one.shape), one > 0)
-    below = np.where(has, log, escape + lowest)
-    log, has, escape = step(np.broadcast_to(one, counts.shape), counts > 0)
-    below = np.where(has, log, escape + below[None]).reshape(width * width, width)
-    counts = counts.reshape(width * width, width)
-    log, has, escape = step(counts, np.zeros(1, bool))
-    tables, children, offset = [np.where(has, log, escape + below).astype(np.float32)], [], [0]
-
-    nodes = {}  # of the kept contexts of the length before; those of two bytes are all there
-    for length, (gram, n) in enumerate(longer, 3):
-        mask = (1 << (8 * (length - 1))) - 1
-        context = gram >> 8
-        known, row = np.unique(context, return_inverse=True)
-
-        def node(part: np.ndarray) -> np.ndarray:
-            if length == 3:
-                return symbol[part >> 8] * width + symbol[part & 0xFF]
-            return np.array([nodes.get(int(x), -1) for x in part], np.int64)  # noqa: B023
-
-        parent, suffix = node(known >> 8), node(known & mask)
-        reached = (parent >= 0) & (suffix >= 0)
-        place = np.cumsum(reached) - 1
-        own = np.zeros((int(reached.sum()), width), np.float32)
-        inside = reached[row]
-        np.add.at(own, (place[row[inside]], symbol[gram[inside] & 0xFF]), n[inside])
-        child = np.full(len(counts) * width, -1, np.int32)
-        child[parent[reached] * width + symbol[known[reached] & 0xFF]] = place[reached]
-        next_below, table = np.zeros(own.shape, np.float32), np.zeros(own.shape, np.float32)
-        for first in range(0, len(own), 4096):
-            part = slice(first, first + 4096)
-            log, has, escape = step(own[part].astype(np.float64), np.zeros(1, bool))
-            lower = suffix[reached][part]
-            log_x, has_x, escape_x = step(counts[lower].astype(np.float64), has)
-            next_below[part] = np.where(has_x, log_x, escape_x + below[lower])
-            table[part] = np.where(has, log, escape + next_below[part])
-        offset.append(sum(t.size for t in tables))
-        tables.append(table)
-        children.append(child)
-        counts, below = own, next_below
-        nodes = {int(x): int(p) for x, p in zip(known[reached], place[reached])}
-    return ByteModel(symbol, width, children, offset, np.concatenate([t.reshape(-1) for t in tables]))
+def bounded(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` as a join side with a row for each run of ``size`` bytes: up to two there are 65,536 at most."""
+    return F.broadcast(rows) if size <= 2 else rows
+
+
+def gram_logs(counts: DataFrame) -> DataFrame:
+    """(gram, n, log): log10 of the probability of the last byte of each gram after those before it.
+
+    ``counts`` (gram, n) has every gram to score, with ``n`` = 0 for those not learned.
+    """
+    tables = {ORDER + 1: counts.where("n > 0")}
+    for size in range(ORDER, 0, -1):
+        tables[size] = cut_lineage(tables[size + 1].groupBy(last(size).alias("gram")).agg(F.sum("n").alias("n")))
+
+    def contexts(size: int) -> DataFrame:
+        """Counts of each context in all, its different bytes, and how often the next shorter context has these."""
+        shorter = tables[size].select(F.col("gram").alias("short"), F.col("n").alias("n_short"))
+        rows = tables[size + 1].join(bounded(shorter, size), last(size) == F.col("short"))
+        found = rows.groupBy(F.shiftright("gram", 8).alias("context"))
+        return found.agg(F.sum("n").alias("total"), F.count("n").alias("kinds"), F.sum("n_short").alias("covered"))
+
+    whole = F.col("total") + F.col("kinds")
+    longest = contexts(ORDER)
+    learned = tables[ORDER + 1].join(longest, F.shiftright("gram", 8) == F.col("context"))
+    learned = learned.select("gram", "n", F.log10(F.col("n") / whole).alias("log"))
+
+    zero = F.lit(0).cast("long")
+    state = {"log": F.lit(0.0), "done": F.lit(False), "less": zero, "fewer": zero}
+    rows = counts.where("n = 0").select("gram", *[value.alias(name) for name, value in state.items()])
+    for size in range(ORDER, -1, -1):
+        times = zero
+        if size < ORDER:
+            met = tables[size + 1].select(F.col("gram").alias("met"), F.col("n").alias("times"))
+            rows, times = rows.join(bounded(met, size + 1), last(size + 1) == F.col("met"), "left"), F.coalesce("times", zero)
+        if size:
+            context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * size)) - 1))
+            found = longest if size == ORDER else contexts(size)
+            rows = rows.join(bounded(found, size), context == F.col("context"), "left")
+            total, kinds, covered = (F.coalesce(name, zero) for name in ("total", "kinds", "covered"))
+        else:
+            every = tables[1].agg(F.coalesce(F.sum("n"), zero), F.count("n")).first()
+            total, kinds, covered = F.lit(every[0]), F.lit(every[1]), zero
+        # bytes of the longer context are excluded here
+        weight, others = total - F.col("less") + kinds - F.col("fewer"), kinds - F.col("fewer")
+        chance = F.when(times > 0, F.try_divide(times.cast("double"), weight)).when(others > 0, F.try_divide(others.cast("double"), weight))
+        log = F.col("log") + F.when(F.col("done"), 0.0).otherwise(F.coalesce(F.log10(chance), F.lit(0.0)))
+        rows = rows.select("gram", log.alias("log"), (F.col("done") | (times > 0)).alias("done"), covered.alias("less"), kinds.alias("fewer"))
+    equal = F.when(F.col("done"), 0.0).otherwise(-F.log10(F.greatest(256 - F.col("fewer"), F.lit(1)).cast("double")))
+    return learned.union(rows.select("gram", zero.alias("n"), (F.col("log") + equal).alias("log")))
+
+
+def byte_logs(codes: np.ndarray, logs: np.ndarray, data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each text, the sum of the ``logs`` of its grams among ``codes`` (sorted); text, gram and times of the others."""
+    code, owner = grams(data, limits)
+    distinct, back = np.unique(code, return_inverse=True)
+    at = np.minimum(np.searchsorted(codes, distinct), max(len(codes) - 1, 0))
+    hit = codes[at] == distinct if len(codes) else np.zeros(len(distinct), bool)
+    log = np.where(hit, logs[at], 0.0) if len(codes) else np.zeros(len(distinct))
+    sums = np.bincount(owner, log[back], minlength=len(limits) - 1)
+    missed = np.flatnonzero(~hit[back])
+    # by text and gram; the numbers of the grams of a run are few
+    pair, times = np.unique(owner[missed] * len(distinct) + back[missed], return_counts=True)
+    return sums, pair // max(len(distinct), 1), distinct[pair % max(len(distinct), 1)], times
 
 
 def most_frequent(rows: DataFrame, limit: int) -> DataFrame:
@@ -230,49 +208,44 @@ def most_frequent(rows: DataFrame, limit: int) -> DataFrame:
     return rows.where(F.lit(False) if cut is None else band >= cut)
 
 
-def learn_bytes(counts: DataFrame, contexts: int = CONTEXTS) -> ByteModel:
-    """Collect the bounded part of the trie and compute its probabilities."""
-    longest = counts.where(F.col("gram").isNotNull()).select("gram", "n")
-
-    def of_length(size: int) -> DataFrame:
-        if size == ORDER + 1:
-            return longest
-        return longest.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * size)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
+def gram_tokens(code: np.ndarray) -> list[bytes]:
+    """Keys of grams in the join: a tab, which no word has, and the bytes."""
+    raw = np.full((len(code), ORDER + 2), ord("\t"), np.uint8)
+    raw[:, 1:] = code.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - ORDER - 1 :]
+    return raw.view(f"V{ORDER + 2}").ravel().tolist()
 
-    def collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        found = rows.select("gram", "n").toArrow()
-        return found.column("gram").to_numpy(), found.column("n").to_numpy()
 
-    longer = []
-    for length in range(3, ORDER + 1):
-        rows = of_length(length + 1).withColumn("context", F.shiftright("gram", 8))
-        kept = most_frequent(rows.groupBy("context").agg(F.sum("n").alias("n")), contexts).select("context")
-        longer.append(collected(rows.join(F.broadcast(cut_lineage(kept)), "context")))
-    return build(collected(of_length(3)), longer)
+def gram_token(gram):
+    """The key of ``gram_tokens`` of a column."""
+    return F.unhex(F.concat(F.lit("09"), F.lpad(F.hex(gram), 2 * (ORDER + 1), "0")))
 
 
-def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", contexts: int = CONTEXTS, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", broadcast_grams: int = BROADCAST_GRAMS, frequent: int = FREQUENT) -> DataFrame:
     """Base and model scores of every row; rows where the column ``held_out`` is true are not learned.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
     """
     spark = docs.sparkSession
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("held_out", held_out)
-    counts = cut_lineage(corpus_counts(rows.where(~F.col("held_out"))))
+    counts = cut_lineage(corpus_counts(rows))
     vocabulary = counts.where(F.col("token").isNotNull()).select("token", "n")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
     top = most_frequent(vocabulary, frequent).toArrow()
     known = dict(zip(top.column("token").to_pylist(), np.log10(top.column("n").to_numpy() + 1.0).tolist()))
-    shared = spark.sparkContext.broadcast((known, learn_bytes(counts, contexts)))
+    logs = cut_lineage(gram_logs(counts.where(F.col("gram").isNotNull()).select("gram", "n")))
+    near = most_frequent(logs.select("gram", "log", (F.col("n") + 1).alias("n")), broadcast_grams).select("gram", "log").toArrow().sort_by("gram")
+    model = near.column("gram").to_numpy().astype(np.uint64), near.column("log").to_numpy()
+    shared = spark.sparkContext.broadcast((known, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs, model = shared.value
         for batch in batches:
             data, limits = text_bytes(batch.column(0))
-            ppm = np.zeros(batch.num_rows)
+            ppm, others = np.zeros(batch.num_rows), [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
             for first, end in runs(limits):
                 low = limits[first]
-                ppm[first:end] = model.logs(data[low : limits[end]], limits[first : end + 1] - low)
+                ppm[first:end], at, code, times = byte_logs(*model, data[low : limits[end]], limits[first : end + 1] - low)
+                others.append((at + first, code, times))
             raw, size = data.tobytes().lower(), np.diff(limits)
             ids, digests, held = (batch.column(i).to_pylist() for i in (1, 2, 3))
             owner, token, n, head, sure, base = [], [], [], [], [], []
@@ -296,6 +269,10 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
                 head.append((len(owner) - 1, found.total()))
                 sure.append(mine)
                 base.append(sum_log)
+            for at, code, times in others:
+                owner.extend(at.tolist())
+                token.extend(gram_tokens(code))
+                n.extend(times.tolist())
             at = np.array([h[0] for h in head], np.int64)
             count = len(owner)
 
@@ -318,13 +295,14 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         run,
         "doc_id long, digest long, held_out boolean, token binary, times long, copies long, tokens long, known long, logs double, ppm double, bytes long",
     )
-    met = parts.join(vocabulary, "token", "left")
+    chances = logs.select(gram_token(F.col("gram")).alias("token"), F.lit(0).cast("long").alias("n"), "log")
+    met = parts.join(vocabulary.withColumn("log", F.lit(0.0)).unionByName(chances), "token", "left")
     one = met.groupBy("doc_id", "digest", "held_out").agg(
         F.sum("copies").alias("copies"),
         F.sum("tokens").alias("tokens"),
         F.sum(F.col("known") + F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"),
         F.sum(F.col("logs") + F.when(F.col("n") > 0, F.col("times") * F.log10(F.col("n") + 1.0)).otherwise(0.0)).alias("logs"),
-        F.sum("ppm").alias("ppm"),
+        F.sum(F.col("ppm") + F.col("times") * F.coalesce("log", F.lit(0.0))).alias("ppm"),
         F.sum("bytes").alias("bytes"),
     )
     # equal rows came together; each gets its own line again

@@ -123,6 +123,21 @@ def test_ppm_equals_its_definition(spark):
     assert sum(brute.chance(b"\xff\xffab", b) for b in range(256)) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("how", [{}, {"broadcast_grams": 1000}, {"broadcast_grams": 0}])
+def test_ppm_keeps_every_context(spark, how):
+    """Far more contexts of three and four bytes than any table of 32,768, most of them seen once."""
+    rng = np.random.default_rng(11)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzäöüß"), 400)) for _ in range(200)]
+    learned, others = texts[:190], [*texts[190:], texts[0][:100], "zzz", ""]
+    brute = BruteModel(learned)
+    assert sum(len(context) == ppm.ORDER for context in brute.counts) > 1 << 15
+    docs = spark.createDataFrame(list(enumerate(learned + others)), "doc_id long, text string")
+    rows = ppm.score(docs, F.col("doc_id") >= len(learned), **how).where(F.col("doc_id") >= 180).collect()
+    assert len(rows) == 10 + len(others)
+    for row in rows:
+        assert row.score == pytest.approx(brute.log((learned + others)[row.doc_id]), rel=1e-9)
+
+
 @pytest.mark.parametrize("frequent", [0, 50, 200_000])
 def test_base_scores_equal_the_formula(documents, frequent):
     texts = {r.doc_id: r.text for r in documents.select("doc_id", "text").collect()}
