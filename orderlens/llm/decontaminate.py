@@ -1,15 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Texts are words of letters, digits and bytes above 127, in lower case. Every run of ``size`` words
-of a test item is a seed. A first pass counts in how many documents each seed is found; a seed much
-commoner than the median seed of its item is no use and is left out (a passage that a third of all
-documents hold has seeds that are all equally common, so it stays). A second pass cuts out the
-regions around the rare seeds. Regions meet items by a join on the seed, and each region that shares
-a seed with an item is aligned with it, word by word (match 2, other word -1, gap -1). The score is
+of a test item is a seed, however common. A pass over the documents cuts out the regions around
+seeds. Equal passages are one from there on, whatever the number of documents that hold them, and
+carry their places along. Passages meet items by a join on the seed, and each passage that shares a
+seed with an item is aligned with it, word by word (match 2, other word -1, gap -1). The score is
 that of the best local alignment over that of the whole item: 1 for a verbatim copy; one for which
-a quarter of the words were exchanged still has about 0.6.
+a quarter of the words were exchanged still has about 0.6. A passage that has too few of the item's
+words for the asked score, in any order, cannot reach it and is not aligned.
 
-Both passes look seeds up in a bitmap of fixed size, so nothing that is broadcast grows with the
+The pass looks seeds up in a bitmap of fixed size, so nothing that is broadcast grows with the
 benchmark or the corpus; what the bitmap lets through by chance does not meet a seed in the join.
 
 Edge cases: null and empty texts hold no words; items of fewer than ``size`` words are not searched.
@@ -20,6 +20,7 @@ Other columns of the input are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,8 +35,6 @@ from orderlens.session import cut_lineage
 
 SIZE, LEAST = 3, 0.6
 BITMAP_BITS = 26
-#: A seed is rare if it is in so many documents at most, or in so many times the median of its item.
-RARE_ROWS, RARE_TIMES = 50, 8.0
 MATCH, OTHER, GAP = 2, -1, -1
 
 WORD = np.full(256, 32, np.uint8)
@@ -95,29 +94,8 @@ def item_seeds(items: DataFrame, size: int) -> DataFrame:
     return items.select("item", "text").mapInArrow(run, "item long, seed long, words long").distinct()
 
 
-def seed_frequencies(docs: DataFrame, bitmap, size: int) -> DataFrame:
-    """(seed, rows): in how many documents each seed of the bitmap is found."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for batch in batches:
-            parts = [kept]
-            for _, _, code, _, doc, _, _, _ in by_run(batch.column(0), size):
-                hit = in_bitmap(bitmap.value, code)
-                once = np.unique(np.stack([doc[hit], code[hit]], 1), axis=0)[:, 1]
-                parts.append((once, np.ones(len(once), np.int64)))
-            code, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-            seen, at = np.unique(code, return_inverse=True)
-            kept = (seen, np.bincount(at, n, minlength=len(seen)).astype(np.int64))
-        if len(kept[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(kept[0]), pa.array(kept[1])], ["seed", "rows"])
-
-    found = docs.select("text").mapInArrow(run, "seed long, rows long")
-    return found.groupBy("seed").agg(F.sum("rows").alias("rows"))
-
-
 def regions(docs: DataFrame, bitmap, size: int, around: int) -> DataFrame:
-    """(doc_id, region, passage, found): words around seeds, and the seeds in them.
+    """(doc_id, place, region, passage, found): words around seeds, the digest of these words, the seeds in them.
 
     Seeds at most ``around`` words apart share a region, which reaches ``around`` words to both sides.
     """
@@ -147,7 +125,7 @@ def regions(docs: DataFrame, bitmap, size: int, around: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "passage", "found"])
 
     cut = docs.select("text", "doc_id").mapInArrow(run, "doc_id long, place long, passage binary, found array<long>")
-    return cut.withColumn("region", F.xxhash64("doc_id", "place", "passage"))
+    return cut.withColumn("region", F.struct(F.xxhash64("passage").alias("h1"), F.xxhash64(F.lit(1), "passage").alias("h2")))
 
 
 @lru_cache(maxsize=4096)
@@ -168,18 +146,27 @@ def aligned(passage: bytes, item: bytes) -> tuple[float, int]:
     return best / (MATCH * len(a)), at
 
 
-def alignments(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (doc_id, item, place, passage, item_text) with ``score`` and ``end_word``."""
+def reachable(passage: bytes, item: bytes) -> float:
+    """No alignment scores more: the share of the item's words that the passage has, in any order."""
+    need = Counter(item.split())
+    return (need & Counter(passage.split())).total() / need.total()
+
+
+def alignments(pairs: DataFrame, least: float) -> DataFrame:
+    """(region, item, score, ends) of the ``pairs`` (region, item, passage, item_text) that score ``least`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [aligned(p, i) for p, i in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            found = [
+                aligned(p, i) if reachable(p, i) >= least else (-1.0, 0) for p, i in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            ]
             score, at = np.array([f[0] for f in found], np.float64), np.array([f[1] for f in found], np.int64)
-            columns = [batch.column(0), batch.column(1), pa.array(score), pa.array(batch.column(2).to_numpy() + at)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item", "score", "end_word"])
+            good = pa.array(score >= least)
+            columns = [column.filter(good) for column in (batch.column(0), batch.column(1), pa.array(score), pa.array(at))]
+            yield pa.RecordBatch.from_arrays(columns, ["region", "item", "score", "ends"])
 
-    ordered = pairs.select("doc_id", "item", "place", "passage", "item_text")
-    return ordered.mapInArrow(run, "doc_id long, item long, score double, end_word long")
+    ordered = pairs.select("region", "item", "passage", "item_text")
+    return ordered.mapInArrow(run, "region struct<h1:long,h2:long>, item long, score double, ends long")
 
 
 def normalised(items: DataFrame) -> DataFrame:
@@ -205,20 +192,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, least: float
     items = pick(benchmark, item=item_col, text=item_text).select(F.col("item").cast("long"), "text")
     every = cut_lineage(item_seeds(items, size))
     bitmap = spark.sparkContext.broadcast(bitmap_of(every))
-    counted = every.join(seed_frequencies(rows, bitmap, size), "seed")
-    usual = counted.groupBy(F.col("item").alias("item_")).agg(F.median("rows").alias("usual"))
-    limit = F.greatest(F.lit(float(RARE_ROWS)), F.col("usual") * RARE_TIMES)
-    rare = counted.join(usual, F.col("item").eqNullSafe(F.col("item_"))).where(F.col("rows") <= limit)
-    rare = cut_lineage(rare.select("item", "seed", "words"))
-    around = rare.agg(F.max("words")).first()[0]
+    around = every.agg(F.max("words")).first()[0]
     if around is None:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, end_word long")
-    cut = cut_lineage(regions(rows, spark.sparkContext.broadcast(bitmap_of(rare)), size, int(around)))
-    met = cut.select("region", F.explode("found").alias("seed")).join(rare.select("seed", "item"), "seed")
-    pairs = met.select("region", "item").distinct()
-    pairs = pairs.join(cut.select("region", "doc_id", "place", "passage"), "region")
-    texts = normalised(items).withColumnRenamed("item", "item_")
-    found = alignments(pairs.join(texts, F.col("item").eqNullSafe(F.col("item_")))).where(F.col("score") >= least)
+    cut = cut_lineage(regions(rows, bitmap, size, int(around)))
+    passages = cut.groupBy("region").agg(F.first("passage").alias("passage"), F.first("found").alias("found"))
+    met = passages.select("region", F.explode("found").alias("seed")).join(every.select("seed", "item"), "seed")
+    pairs = met.select("region", "item").distinct().join(passages.select("region", "passage"), "region")
+    texts = normalised(items).withColumnRenamed("item", "item_").distinct()
+    good = alignments(pairs.join(texts, F.col("item").eqNullSafe(F.col("item_"))), least)
+    found = good.join(cut.select("region", "doc_id", "place"), "region").withColumn("end_word", F.col("place") + F.col("ends"))
     best = found.groupBy("doc_id", "item").agg(F.max(F.struct("score", (-F.col("end_word")).alias("end"))).alias("best"))
     return best.select("doc_id", F.col("item").alias("item_id"), "best.score", (-F.col("best.end")).alias("end_word"))
 

@@ -108,6 +108,27 @@ def test_copies_edited_copies_and_clean_texts(spark, documents):
     assert {r.doc_id for r in decontaminate.clean(docs, items).collect()} == {4, 5}
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_many_edited_copies_beside_one_verbatim(spark, same):
+    """A word inserted after every third: the seeds that survive are in 61 documents, all others in one."""
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    edited = " ".join(w + " inserted" * (i % 3 == 2) for i, w in enumerate(words))
+    rows = [(1, " ".join(words)), (2, f"{words[0]} {words[1]} {words[2]} is no copy")]
+    rows += [(100 + i, edited if same else f"text number {i} {edited} end {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    found = {r.doc_id: r.score for r in decontaminate.leaks(docs, items).collect()}
+    assert set(found) == {1, *range(100, 160)}
+    assert found[1] == 1.0 and all(0.8 < found[100 + i] < 0.9 for i in range(60))
+
+
+def test_no_alignment_scores_more_than_the_shared_words():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = (" ".join(map(str, rng.integers(0, 6, rng.integers(1, 15)))).encode() for _ in range(2))
+        assert decontaminate.aligned(b, a)[0] <= decontaminate.reachable(b, a) + 1e-12
+
+
 def test_verbatim_items_in_the_tables(spark, documents, folder):
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
     normal = lambda t: " " + " ".join(re.sub(r"[^a-z0-9\x80-\U0010ffff]", " ", re.sub("[A-Z]", lambda c: c[0].lower(), t)).split()) + " "
