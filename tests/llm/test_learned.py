@@ -40,6 +40,29 @@ def test_far_texts_are_rejected(spark, documents):
     assert language.predict(documents, model).where("rejected").count() <= 0.01 * documents.count()
 
 
+@pytest.mark.parametrize("unseen", ["es", "de", "fr"])
+def test_a_language_never_learned_is_rejected(spark, unseen):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = language.learn(docs.where((F.col("lang") != unseen) & ~held))
+    # some texts have another label, but are in the language left out
+    named = language.predict(docs.withColumn("held", held), language.learn(docs.where(~held))).withColumnRenamed("lang_pred", "named")
+    rows = language.predict(named.drop("score", "rejected"), model).select("lang", "named", "held", "rejected").collect()
+    strange = [r.rejected for r in rows if r.lang == unseen]
+    known = [r.rejected for r in rows if unseen not in (r.lang, r.named) and r.held]
+    assert sum(strange) >= 0.9 * len(strange)
+    assert sum(known) <= 0.02 * len(known)
+
+
+def test_short_texts_of_learned_languages_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = language.learn(docs.where(~held))
+    for size in (10, 40, 150):
+        short = docs.where(held).withColumn("text", F.left("text", F.lit(size)))
+        assert language.predict(short, model).where("rejected").count() <= 0.02 * short.count()
+
+
 def test_toxicity_of_held_out_documents(spark):
     folder = "/root/testdata/sf0.01"
     rows = toxicity.op5_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").collect()
