@@ -31,8 +31,8 @@ from orderlens.sources.order_items import order_items
 _KEY = ", ".join(ITEM_KEY)
 _VIEW = [*FEATURES, "sales", "ts", *ITEM_KEY]
 
-# Tree counts of the registered queries that only have to show that a model fits.
-QUICK = models.Sizes(trees=10, rounds=5, importance_trees=5, fold_trees=5)
+# The library's own tree counts.
+SIZES = models.Sizes()
 
 
 # ---- features
@@ -248,7 +248,7 @@ def _fit_and_judge(spark, folder, names):
     """Fit the named models on the training rows and judge each on the test rows."""
     prepared = _prepared(spark, folder)
     train = files.keep_for_reuse(prepared.part("train").select("features", "sales"))
-    fitted = PipelineModel(models.fit_models(train, names, sizes=QUICK))
+    fitted = PipelineModel(models.fit_models(train, names, sizes=SIZES))
     tested = fitted.transform(prepared.part("test"))
     parts = [
         F.struct(
@@ -367,7 +367,7 @@ def _step(spark, folder):
 def trees_on_a_step(spark, folder):
     """R1, R2, R3 where the answer is known: each model must find the step, whatever rows its trees draw."""
     rows, names = _step(spark, folder), models.MODEL_NAMES[:3]
-    fitted = PipelineModel(models.fit_models(rows, names, sizes=QUICK)).transform(rows)
+    fitted = PipelineModel(models.fit_models(rows, names, sizes=SIZES)).transform(rows)
     lines = F.array(*[F.struct(F.lit(name).alias("model"), F.round(name, 6).alias("predicted")) for name in names])
     each = fitted.select("days_sched", F.inline(lines))
     return each.groupBy("model", "days_sched", "predicted").agg(F.count("*").alias("n")).select("model", "days_sched", "n", "predicted")
@@ -382,7 +382,7 @@ def trees_on_a_step(spark, folder):
 def importance_of_one_feature(spark, folder):
     """R16 where one feature explains everything and the other is constant."""
     rows = _step(spark, folder)
-    found = models.feature_importance(rows, ["days_sched", "nothing"], trees=QUICK.importance_trees)
+    found = models.feature_importance(rows, ["days_sched", "nothing"], trees=SIZES.importance_trees)
     scores = F.struct(*[F.round(c, 6).alias(c) for c in ("forest", "boosted", "combined")])
     return found.select("feature", scores.alias("s"), F.lit(rows.count()).alias("n")).select("feature", "s.*", "n")
 
@@ -391,7 +391,7 @@ def importance_of_one_feature(spark, folder):
 def sigma_of_constant_errors(spark, folder):
     """R14 where every prediction is off by 8: the error model must say so for every row."""
     rows = _step(spark, folder).withColumn("prediction", F.col("sales") + F.when(F.col("days_sched") % 2 == 0, 8.0).otherwise(-8.0))
-    scored = models.interval_stage().transform(models.fit_sigma(rows, rounds=QUICK.rounds).transform(rows))
+    scored = models.interval_stage().transform(models.fit_sigma(rows, rounds=SIZES.rounds).transform(rows))
     return scored.groupBy("days_sched", F.round("sigma", 6).alias("sigma")).agg(F.count("*").alias("n"))
 
 
@@ -411,12 +411,10 @@ def top_features_by_f_score(spark, folder):
 
 @query()
 def forecast_test_rows(spark, folder):
-    """The whole forecaster on the test rows, ridge as the primary model."""
+    """The whole forecaster, all members, on the test rows, ridge as the primary model."""
     prepared = _prepared(spark, folder)
     train = files.keep_for_reuse(prepared.part("train").select("features", "sales"))
-    fitted = models.fit_forecaster(
-        train, prepared.part("validation"), ["elastic_net", "ridge"], sizes=QUICK, primary="ridge"
-    )
+    fitted = models.fit_forecaster(train, prepared.part("validation"), models.MODEL_NAMES, sizes=SIZES, primary="ridge")
     tested = fitted.transform(prepared.part("test"))
     return tested.select(*ITEM_KEY, "sales", "ensemble", "prediction", "sigma", "prediction_lower", "prediction_upper")
 
@@ -429,7 +427,7 @@ def forest_cross_validation(spark, folder):
     return models.cross_validate(
         files.keep_for_reuse(rows.where(F.col("split") == "train")),
         preparation.FOLDS,
-        trees=QUICK.fold_trees,
+        trees=SIZES.fold_trees,
         prepare=lambda inside: preparation.fit_preparation(inside, trailing=False),
     )
 
@@ -457,7 +455,7 @@ def feature_importances(spark, folder):
     prepared = _prepared(spark, folder)
     train = files.keep_for_reuse(prepared.part("train").select("features", "sales"))
     return paging.top_features(
-        models.feature_importance(train, prepared.names, trees=QUICK.importance_trees), "combined"
+        models.feature_importance(train, prepared.names, trees=SIZES.importance_trees), "combined"
     )
 
 
