@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import decontaminate, language, licenses, mixing, pii, ppm, quality, rules, simhash, toxicity
+from orderlens.llm import (
+    decontaminate,
+    infill,
+    language,
+    licenses,
+    mixing,
+    negatives,
+    pii,
+    ppm,
+    quality,
+    rules,
+    secrets,
+    simhash,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -19,8 +33,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing.op8_mixing,
     "op9_ppm": ppm.op9_ppm,
     "op10_licenses": licenses.op10_licenses,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_fill_in_middle": infill.op12_fill_in_middle,
+    "op13_secrets": secrets.op13_secrets,
 }
 
-#: DuckDB twins. The operators learn, align or iterate; none of them is one SQL statement, so each
-#: is tested against a brute-force version or by held-out accuracy instead (``tests/llm``).
-SQL: dict[str, str] = {}
+#: DuckDB twins. The other operators learn, align, iterate or give positions of matches; none of them is
+#: one SQL statement, so each is tested against a brute-force version or by held-out accuracy (``tests/llm``).
+SQL: dict[str, str] = {"op11_hard_negatives": negatives.SQL, "op12_fill_in_middle": infill.SQL}
