@@ -192,7 +192,9 @@ def test_registered_queries_equal_sql(spark, folder, name):
     assert difference(got, want) is None and len(got)
 
 
-def test_registered_secrets_equal_brute_force(spark, folder, documents):
+def test_registered_secrets_equal_brute_force(spark, folder):
+    folder = folder.replace("sf0.001", "sf0.01")  # the smallest tables hold no secret
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in documents.collect()}
     rows = catalog.QUERIES["op13_secrets"](spark, folder).collect()
     assert len(rows) == documents.count()
