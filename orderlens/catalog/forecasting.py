@@ -23,7 +23,8 @@ from orderlens.columns import FEATURES, ITEM_KEY, ITEM_ORDER, NUMERIC
 from orderlens.functions.expressions import REPORT_BANDS, confidence_band
 from orderlens.operators import evaluation, features, ordered, paging, scoring
 from orderlens.plans import bundle as bundles
-from orderlens.plans import forecast, models, preparation
+from orderlens.plans import forecast, models, preparation, trees
+from orderlens.plans.growth import Growth
 from orderlens.session import scratch_path
 from orderlens.sources import files
 from orderlens.sources.order_items import order_items
@@ -365,14 +366,62 @@ def _step(spark, folder):
     )
 )
 def trees_on_a_step(spark, folder):
-    """R1, R2, R3 where the answer is known: each model must find the step, whatever rows its trees draw."""
+    """R1, R2, R3 where the answer is known: each model must find the step, whatever rows its trees draw.
+
+    To two digits: a tree that drew the other feature alone leaves the residuals as they are, and a
+    penalised leaf stops pulling once they sum up to the penalty.
+    """
     rows, names = _step(spark, folder), models.MODEL_NAMES[:3]
     fitted = PipelineModel(models.fit_models(rows, names, sizes=SIZES)).transform(rows)
-    lines = F.array(*[F.struct(F.lit(name).alias("model"), F.round(name, 6).alias("predicted")) for name in names])
+    lines = F.array(*[F.struct(F.lit(name).alias("model"), F.round(name, 2).alias("predicted")) for name in names])
     each = fitted.select("days_sched", F.inline(lines))
     return each.groupBy("model", "days_sched", "predicted").agg(F.count("*").alias("n")).select("model", "days_sched", "n", "predicted")
 
 
+@query(
+    on_items(
+        "SELECT quantity, days_sched, count(*) AS n, round(any_value(base) + any_value(sign(g) * greatest(abs(g) - 0.1, 0) / (h + 0.1)), 6) AS predicted "
+        "FROM leaves GROUP BY quantity, days_sched",
+        "marked AS (SELECT quantity, days_sched, CASE WHEN quantity <= 20 THEN CASE WHEN days_sched <= 3 THEN 10.0 ELSE 20.0 END "
+        "ELSE CASE WHEN days_sched <= 2 THEN 50.0 ELSE 90.0 END END::DOUBLE AS y FROM items)",
+        "leaves AS (SELECT quantity, days_sched, base, sum(y - base) OVER (PARTITION BY y) AS g, count(*) OVER (PARTITION BY y) AS h "
+        "FROM marked, (SELECT avg(y) AS base FROM marked))",
+    )
+)
+def penalised_tree(spark, folder):
+    """R2: one tree of two levels whose leaves are known, with both leaf penalties."""
+    items = order_items(spark, folder, ["quantity", "days_sched"])
+    few, late = F.col("quantity") <= 20, F.col("days_sched")
+    y = F.when(few, F.when(late <= 3, 10.0).otherwise(20.0)).otherwise(F.when(late <= 2, 50.0).otherwise(90.0))
+    rows = VectorAssembler(inputCols=["quantity", "days_sched"], outputCol="features").transform(items.withColumn("y", y))
+    growth = Growth(1, 2, rate=1.0, l1=models.LEAF_L1, l2=models.LEAF_L2)
+    fitted = trees.fit_together(files.keep_for_reuse(rows), {"predicted": growth}, "y")["predicted"]
+    each = fitted.transform(rows).groupBy("quantity", "days_sched", F.round("predicted", 6).alias("predicted"))
+    return each.agg(F.count("*").alias("n")).select("quantity", "days_sched", "n", "predicted")
+
+
+@query(
+    on_items(
+        "SELECT feature, row_number() OVER (ORDER BY v DESC) AS place, n FROM (SELECT unnest(['days_sched', 'quantity', 'days_real']) AS feature, "
+        "unnest([var_pop(100.0 * (days_sched > 3)::INT), var_pop(40.0 * (quantity > 25)::INT), var_pop(10.0 * (days_real > 0)::INT)]) AS v, "
+        "count(*) AS n FROM items)"
+    )
+)
+def importance_order(spark, folder):
+    """R16 where three features add up: the more of the variance a feature makes, the more important it is, to both models."""
+    names = ["days_sched", "quantity", "days_real"]
+    above = lambda name, mark, size: F.when(F.col(name) > mark, float(size)).otherwise(0.0)
+    items = order_items(spark, folder, names)
+    y = above("days_sched", 3, 100) + above("quantity", 25, 40) + above("days_real", 0, 10)
+    rows = files.keep_for_reuse(VectorAssembler(inputCols=names, outputCol="features").transform(items.withColumn("sales", y)))
+    found = {r["feature"]: r for r in models.feature_importance(rows, names, trees=SIZES.importance_trees).collect()}
+    orders = [sorted(names, key=lambda name: -found[name][by]) for by in ("forest", "boosted", "combined")]
+    if orders[0] != orders[1]:
+        raise ValueError(f"the models disagree: {orders}")
+    n = rows.count()
+    return spark.createDataFrame([(name, place, n) for place, name in enumerate(orders[2], 1)], "feature string, place long, n long")
+
+
 @query(
     on_items(
         "SELECT feature, forest, boosted, combined, count(*) AS n FROM items, (VALUES "
@@ -422,14 +471,9 @@ def forecast_test_rows(spark, folder):
 @query()
 def forest_cross_validation(spark, folder):
     """R15"""
-    items = order_items(spark, folder, [*FEATURES, "sales", *ITEM_KEY])
-    rows = preparation.with_fold(preparation.with_split(items, ITEM_KEY), ITEM_KEY)
-    return models.cross_validate(
-        files.keep_for_reuse(rows.where(F.col("split") == "train")),
-        preparation.FOLDS,
-        trees=SIZES.fold_trees,
-        prepare=lambda inside: preparation.fit_preparation(inside, trailing=False),
-    )
+    prepared = _prepared(spark, folder, trailing=False)
+    train = files.keep_for_reuse(prepared.part("train").select("features", "sales", "fold"))
+    return models.cross_validate(train, preparation.FOLDS, trees=SIZES.fold_trees)
 
 
 @query(

@@ -17,7 +17,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -59,18 +59,20 @@ class _Rank:
         self.inside = end - self.below
 
 
-def _number(column: str) -> Column:
-    return F.col(f"`{column}`").cast("double")
+def _number(column: str) -> str:
+    """A column as a double, in SQL: thousands of marks as column objects would take longer to build than to count."""
+    return f"CAST(`{column.replace('`', '``')}` AS DOUBLE)"
 
 
-def _between(column: str, lo: float | None, hi: float | None) -> Column:
-    value = _number(column)
-    inside = F.lit(True)
-    if lo is not None:
-        inside = inside & (value > lo)
-    if hi is not None:
-        inside = inside & (value < hi)
-    return inside & value.isNotNull()
+def _literal(value: float) -> str:
+    return f"{value!r}D" if math.isfinite(value) else f"DOUBLE('{'-' if value < 0 else ''}Infinity')"
+
+
+def _between(value: str, lo: float | None, hi: float | None) -> str:
+    """The condition that a value lies strictly between two marks."""
+    sides = [f"{value} > {_literal(lo)}"] if lo is not None else []
+    sides += [f"{value} < {_literal(hi)}"] if hi is not None else []
+    return " AND ".join(sides or ["true"])
 
 
 def exact_quantiles(
@@ -90,7 +92,7 @@ def exact_quantiles(
     """
     if not columns:
         return {}
-    rows = df.select(*[F.when(~F.isnan(_number(c)), _number(c)).alias(c) for c in columns])
+    rows = df.selectExpr(*[f"CASE WHEN NOT isnan({_number(c)}) THEN {_number(c)} END AS `{c.replace('`', '``')}`" for c in columns])
     if not keep:
         return _exact_quantiles(rows, columns, probabilities, size, slack, small)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
@@ -142,33 +144,20 @@ def approximate_quantiles(
     return {c: list(found) or [None] * len(probabilities) for c, (_, found) in zip(columns, sketched)}
 
 
-def _sketch(
-    df: DataFrame, wanted: Sequence[tuple[Column, Sequence[float]]], size: int
-) -> list[tuple[int, list[float]]]:
+def _sketch(df: DataFrame, wanted: Sequence[tuple[str, Sequence[float]]], size: int) -> list[tuple[int, list[float]]]:
     """Number of values and sketched quantiles of every expression.
 
     Merged in two steps, so that no task receives the sketches of all map tasks.
     """
-    group = F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS))
-    merged = (
-        df.groupBy(group.alias("group"))
-        .agg(
-            *[F.count(value).alias(f"n{i}") for i, (value, _) in enumerate(wanted)],
-            *[F.kll_sketch_agg_double(value, F.lit(size)).alias(f"s{i}") for i, (value, _) in enumerate(wanted)],
-        )
-        .agg(
-            *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(wanted))],
-            *[F.kll_merge_agg_double(f"s{i}").alias(f"s{i}") for i in range(len(wanted))],
-        )
+    counts = [F.expr(f"count({value})").alias(f"n{i}") for i, (value, _) in enumerate(wanted)]
+    sketches = [F.expr(f"kll_sketch_agg_double({value}, {size})").alias(f"s{i}") for i, (value, _) in enumerate(wanted)]
+    parts = df.groupBy(F.expr(f"pmod(spark_partition_id(), {MERGE_GROUPS})").alias("group")).agg(*counts, *sketches)
+    merged = parts.selectExpr(
+        *[f"sum(n{i}) AS n{i}" for i in range(len(wanted))], *[f"kll_merge_agg_double(s{i}) AS s{i}" for i in range(len(wanted))]
     )
-    quantiles = [
-        F.when(
-            F.col(f"n{i}") > 0,
-            F.kll_sketch_get_quantile_double(F.col(f"s{i}"), F.array(*[F.lit(float(p)) for p in grid])),
-        ).alias(f"q{i}")
-        for i, (_, grid) in enumerate(wanted)
-    ]
-    row = merged.select(*[f"n{i}" for i in range(len(wanted))], *quantiles).first()
+    shares = [f"array({', '.join(_literal(float(p)) for p in grid)})" for _, grid in wanted]
+    quantiles = [f"CASE WHEN n{i} > 0 THEN kll_sketch_get_quantile_double(s{i}, {grid}) END AS q{i}" for i, grid in enumerate(shares)]
+    row = merged.selectExpr(*[f"n{i}" for i in range(len(wanted))], *quantiles).first()
     return [(row[f"n{i}"] or 0, row[f"q{i}"] or []) for i in range(len(wanted))]
 
 
@@ -181,7 +170,10 @@ def _range_marks(df: DataFrame, ranks: Sequence[_Rank], slack: float, size: int)
     by_range: dict[tuple, list[float]] = defaultdict(list)
     for r in ranks:
         by_range[r.range_key].append((r.rank - r.below + 0.5) / r.inside)
-    wanted = [(F.when(_between(*key), _number(key[0])), _grid(shares, slack)) for key, shares in by_range.items()]
+    wanted = [
+        (f"CASE WHEN {_between(_number(column), lo, hi)} THEN {_number(column)} END", _grid(shares, slack))
+        for (column, lo, hi), shares in by_range.items()
+    ]
     marks: dict[str, list[float]] = defaultdict(list)
     for key, (_, found) in zip(by_range, _sketch(df, wanted, size)):
         marks[key[0]] += found
@@ -193,9 +185,9 @@ def _place_all(df: DataFrame, ranks: Sequence[_Rank], marks: dict[str, Sequence[
     wanted = [(c, m) for c in {r.column for r in ranks} for m in sorted(set(marks[c]))]
     if not wanted:
         return
-    counts = df.agg(
-        *[F.count_if(_number(c) < m).alias(f"l{i}") for i, (c, m) in enumerate(wanted)],
-        *[F.count_if(_number(c) <= m).alias(f"u{i}") for i, (c, m) in enumerate(wanted)],
+    counts = df.selectExpr(
+        *[f"count_if({_number(c)} < {_literal(m)}) AS l{i}" for i, (c, m) in enumerate(wanted)],
+        *[f"count_if({_number(c)} <= {_literal(m)}) AS u{i}" for i, (c, m) in enumerate(wanted)],
     ).first()
     counted: dict[str, list[tuple[float, int, int]]] = defaultdict(list)
     for i, (c, m) in enumerate(wanted):
@@ -213,20 +205,11 @@ def _read_values(df: DataFrame, ranks: Sequence[_Rank]) -> None:
     if not ranks:
         return
     columns = sorted({r.column for r in ranks})
-    pairs = F.array(
-        *[F.struct(F.lit(i).alias("column"), _number(c).alias("value")) for i, c in enumerate(columns)]
-    )
-    value, wanted = F.col("value"), F.lit(False)
-    for column, lo, hi in {r.range_key for r in ranks}:
-        inside = F.col("column") == columns.index(column)
-        if lo is not None:
-            inside = inside & (value > lo)
-        if hi is not None:
-            inside = inside & (value < hi)
-        wanted = wanted | inside
-    counted = (
-        df.select(F.inline(pairs)).where(value.isNotNull()).where(wanted).groupBy("column", "value").count().collect()
-    )
+    pairs = ", ".join(f"named_struct('column', {i}, 'value', {_number(c)})" for i, c in enumerate(columns))
+    ranges = {r.range_key for r in ranks}
+    inside = " OR ".join(f"column = {columns.index(c)} AND {_between('value', lo, hi)}" for c, lo, hi in ranges)
+    rows = df.selectExpr(f"inline(array({pairs}))").where(f"value IS NOT NULL AND ({inside})")
+    counted = rows.groupBy("column", "value").count().collect()
     by_column: dict[str, list[tuple[float, int]]] = defaultdict(list)
     for row in sorted(counted):
         by_column[columns[row["column"]]].append((row["value"], row["count"]))

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.ml import Estimator, Model, PipelineModel, Transformer
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
@@ -18,17 +17,19 @@ from pyspark.sql import functions as F
 
 from orderlens.columns import TARGET
 from orderlens.functions.expressions import Z95
-from orderlens.operators.evaluation import r_squared
 from orderlens.operators.scoring import PRIMARY_SHARE
+from orderlens.plans.growth import Growth
 from orderlens.plans.preparation import SEED
+from orderlens.plans.trees import fit_together, fold_r2
 
 # Sizes and strengths of the regressors.
-TREES, TREE_DEPTH, LEAF_ROWS = 200, 10, 5
+TREES, TREE_DEPTH, LEAF_ROWS, SPLIT_ROWS = 200, 10, 5, 10
 BOOST_ROUNDS, BOOST_DEPTH, LEARNING_RATE = 200, 6, 0.1
-ROW_SHARE, FEATURE_SHARE = 0.8, "0.8"
+ROW_SHARE, FEATURE_SHARE, LEAF_L1, LEAF_L2 = 0.8, 0.8, 0.1, 0.1
 NET_ALPHA, NET_MIX = 0.1, 0.5
 RIDGE_ALPHA = 1.0
 IMPORTANCE_TREES = FOLD_TREES = 100
+IMPORTANCE_RATE, IMPORTANCE_L2 = 0.3, 1.0
 
 MODEL_NAMES = [
     "random_forest",
@@ -50,39 +51,14 @@ class Sizes:
     fold_trees: int = FOLD_TREES
 
 
-def random_forest(
-    label: str = TARGET, trees: int = TREES, name: str = "random_forest", leaf_rows: int = LEAF_ROWS
-) -> Estimator:
-    return RandomForestRegressor(
-        labelCol=label,
-        predictionCol=name,
-        numTrees=trees,
-        maxDepth=TREE_DEPTH,
-        minInstancesPerNode=leaf_rows,
-        featureSubsetStrategy="all",
-        seed=SEED,
-    )
-
-
-def gradient_boosting(
-    label: str = TARGET, rounds: int = BOOST_ROUNDS, name: str = "gradient_boosting", feature_share: str = "all"
-) -> Estimator:
-    return GBTRegressor(
-        labelCol=label,
-        predictionCol=name,
-        maxIter=rounds,
-        maxDepth=BOOST_DEPTH,
-        stepSize=LEARNING_RATE,
-        subsamplingRate=ROW_SHARE,
-        featureSubsetStrategy=feature_share,
-        seed=SEED,
-    )
-
-
-def boosting_subsampled(
-    label: str = TARGET, rounds: int = BOOST_ROUNDS, name: str = "boosting_subsampled"
-) -> Estimator:
-    return gradient_boosting(label, rounds, name, FEATURE_SHARE)
+def tree_growths(sizes: Sizes = Sizes()) -> dict[str, Growth]:
+    """How the trees of the three tree members grow."""
+    boosted = {"trees": sizes.rounds, "depth": BOOST_DEPTH, "rate": LEARNING_RATE, "row_share": ROW_SHARE, "seed": SEED}
+    return {
+        "random_forest": Growth(sizes.trees, TREE_DEPTH, bootstrap=True, leaf_rows=LEAF_ROWS, split_rows=SPLIT_ROWS, seed=SEED),
+        "boosting_subsampled": Growth(**boosted, feature_share=FEATURE_SHARE, l1=LEAF_L1, l2=LEAF_L2),
+        "gradient_boosting": Growth(**boosted),
+    }
 
 
 def _linear(label: str, name: str, strength: float, mix: float) -> Estimator:
@@ -163,13 +139,7 @@ def bayesian_ridge(
     return ridge(n, sd, label, name, evidence_penalty(gram_matrix(train, label)))
 
 
-def estimator(name: str, train: DataFrame, label: str = TARGET, sizes: Sizes = Sizes()) -> Estimator:
-    if name == "random_forest":
-        return random_forest(label, sizes.trees)
-    if name == "boosting_subsampled":
-        return boosting_subsampled(label, sizes.rounds)
-    if name == "gradient_boosting":
-        return gradient_boosting(label, sizes.rounds)
+def linear_estimator(name: str, train: DataFrame, label: str = TARGET) -> Estimator:
     n, sd = label_stats(train, label)
     if name == "elastic_net":
         return elastic_net(sd, label)
@@ -183,8 +153,10 @@ def estimator(name: str, train: DataFrame, label: str = TARGET, sizes: Sizes = S
 def fit_models(
     train: DataFrame, names: Sequence[str] = MODEL_NAMES, label: str = TARGET, sizes: Sizes = Sizes()
 ) -> list[Model]:
-    """Fit the regressors one after the other, each on the whole cluster; ``train`` should be persisted."""
-    return [estimator(name, train, label, sizes).fit(train) for name in names]
+    """Fit the regressors: the tree models side by side, the linear ones each in one pass. ``train`` should be persisted."""
+    growths = {name: growth for name, growth in tree_growths(sizes).items() if name in names}
+    fitted: dict[str, Model] = dict(fit_together(train, growths, label)) if growths else {}
+    return [fitted[name] if name in fitted else linear_estimator(name, train, label).fit(train) for name in names]
 
 
 def ensemble_stage(
@@ -201,7 +173,8 @@ def ensemble_stage(
 def fit_sigma(held_out: DataFrame, label: str = TARGET, rounds: int = BOOST_ROUNDS) -> Model:
     """Model of the error size: absolute residual on held-out rows, scaled to a normal deviation."""
     residuals = held_out.withColumn("_residual", F.abs(F.col(label) - F.col("prediction")) * math.sqrt(math.pi / 2))
-    return gradient_boosting("_residual", rounds, "raw_sigma").fit(residuals)
+    growth = tree_growths(Sizes(rounds=rounds))["gradient_boosting"]
+    return fit_together(residuals, {"raw_sigma": growth}, "_residual")["raw_sigma"]
 
 
 def interval_stage(z: float = Z95) -> SQLTransformer:
@@ -228,37 +201,26 @@ def fit_forecaster(
 
 
 def cross_validate(
-    rows: DataFrame,
-    folds: int,
-    label: str = TARGET,
-    trees: int = FOLD_TREES,
-    fold: str = "fold",
-    prepare: Callable[[DataFrame], Transformer] | None = None,
+    rows: DataFrame, folds: int, label: str = TARGET, trees: int = FOLD_TREES, fold: str = "fold"
 ) -> DataFrame:
-    """R² per fold of a forest fitted on the other folds.
+    """R² per fold of a forest fitted on the other folds; all folds grow side by side over one binned table.
 
-    ``prepare`` learns the preparation from the other folds too, so that no scale, curve or encoding
-    has seen the rows that it is judged on; without it ``rows`` must have a ``features`` vector.
+    Trees see the order of the values only, so a scale or a curve that all folds share tells them nothing.
     """
-    scores = []
-    for k in range(folds):
-        inside, outside = rows.where(F.col(fold) != k), rows.where(F.col(fold) == k)
-        if prepare is not None:
-            stage = prepare(inside)
-            inside, outside = (stage.transform(part).select("features", label) for part in (inside, outside))
-        inside = inside.persist(StorageLevel.MEMORY_AND_DISK)
-        tested = random_forest(label, trees, "predicted", leaf_rows=1).fit(inside).transform(outside)
-        scores.append((k, tested.agg(r_squared(F.col(label), F.col("predicted"))).first()[0]))
-        inside.unpersist()
-    return rows.sparkSession.createDataFrame(scores, f"{fold} int, r2 double")
+    growth = Growth(trees, TREE_DEPTH, bootstrap=True, seed=SEED)
+    return rows.sparkSession.createDataFrame(fold_r2(rows, growth, folds, label, fold), f"{fold} int, r2 double")
 
 
 def feature_importance(
     train: DataFrame, names: Sequence[str], label: str = TARGET, trees: int = IMPORTANCE_TREES
 ) -> DataFrame:
-    """Importance of every feature in a forest and in boosted trees, and their mean."""
-    forest = random_forest(label, trees, "forest", leaf_rows=1).fit(train).featureImportances.toArray()
-    boosted = gradient_boosting(label, trees, "boosted").fit(train).featureImportances.toArray()
+    """Importance of every feature in a forest and in boosted trees, fitted side by side, and their mean."""
+    growths = {
+        "forest": Growth(trees, TREE_DEPTH, bootstrap=True, seed=SEED),
+        "boosted": Growth(trees, BOOST_DEPTH, rate=IMPORTANCE_RATE, l2=IMPORTANCE_L2, seed=SEED),
+    }
+    fitted = fit_together(train, growths, label)
+    forest, boosted = (fitted[name].importances() for name in growths)
     rows = [
         (i, names[i], float(f), float(b), float((f + b) / 2)) for i, (f, b) in enumerate(zip(forest, boosted))
     ]

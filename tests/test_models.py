@@ -234,19 +234,3 @@ def test_r_squared_of_special_targets(spark):
 
 def test_no_conditions_keep_all(predictions):
     assert predictions.where(all_of([])).count() == 50
-
-
-def test_registered_forecaster_has_all_members_at_full_size(spark, folder, monkeypatch):
-    from orderlens.catalog import forecasting
-    from orderlens.plans import models as plans
-
-    class Fitted(Exception):
-        pass
-
-    def capture(train, held_out, names=plans.MODEL_NAMES, label=plans.TARGET, sizes=plans.Sizes(), primary=""):
-        raise Fitted(list(names), sizes)
-
-    monkeypatch.setattr(plans, "fit_forecaster", capture)
-    with pytest.raises(Fitted) as asked:
-        forecasting.forecast_test_rows(spark, folder)
-    assert asked.value.args == (list(plans.MODEL_NAMES), plans.Sizes())
