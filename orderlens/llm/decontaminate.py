@@ -1,16 +1,23 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Texts are words of letters, digits and bytes above 127, in lower case. Every run of ``size`` words
-of a test item is a seed, however common. A pass over the documents cuts out the regions around
-seeds. Equal passages are one from there on, whatever the number of documents that hold them, and
-carry their places along. Passages meet items by a join on the seed, and each passage that shares a
-seed with an item is aligned with it, word by word (match 2, other word -1, gap -1). The score is
+of a test item is a seed. A first pass counts the documents of each seed. In every stretch of
+``STRETCH`` neighbouring seeds of an item the rarer half, by rank and whatever the counts, are keys of the
+item. Its common seeds are no keys alone, but two seeds that do not overlap and are at most
+``REACH`` words apart in the item are a key together. So a word run that half the corpus has
+joins nothing by itself, and an edited copy whose few whole runs are common ones is still found by two of them.
+
+A second pass cuts out the regions around keys: a document's seed that is a key, and two seeds of it
+that are one together. A region reaches as far as the items of the key are long, in classes by powers
+of four. Equal passages are one from there on, whatever the number of documents that hold them,
+and carry their places along. Passages meet items by a join on the key, and are
+aligned with them word by word (match 2, other word -1, gap -1). The score is
 that of the best local alignment over that of the whole item: 1 for a verbatim copy; one for which
 a quarter of the words were exchanged still has about 0.6. A passage that has too few of the item's
 words for the asked score, in any order, cannot reach it and is not aligned.
 
-The pass looks seeds up in a bitmap of fixed size, so nothing that is broadcast grows with the
-benchmark or the corpus; what the bitmap lets through by chance does not meet a seed in the join.
+The passes look seeds and keys up in bitmaps of fixed size, so nothing that is broadcast grows with
+the benchmark or the corpus; what a bitmap lets through by chance does not meet a key in the join.
 
 Edge cases: null and empty texts hold no words; items of fewer than ``size`` words are not searched.
 Repeated documents and items are each found. Rows without id are searched and give a null id. Ties
@@ -22,19 +29,21 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.llm.bytesets import MIX, runs, text_bytes, word_codes, word_limits
 from orderlens.llm.common import pick, quoted
-from orderlens.session import cut_lineage
+from orderlens.session import cut_lineage, small_side
 
 SIZE, LEAST = 3, 0.6
-BITMAP_BITS = 26
+#: Neighbouring seeds of which the rarer half are keys; words between two seeds that are a key together,
+#: in the item and in a document, where words may have been put in.
+STRETCH, REACH, SPREAD = 8, 12, 24
+BITMAP_BITS = 25
 MATCH, OTHER, GAP = 2, -1, -1
 
 WORD = np.full(256, 32, np.uint8)
@@ -70,65 +79,143 @@ def in_bitmap(bitmap: np.ndarray, code: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
-def bitmap_of(seed_rows: DataFrame) -> np.ndarray:
-    """One bit for each seed: 2 ** BITMAP_BITS bits, whatever the number of seeds."""
-    at = F.shiftrightunsigned("seed", 64 - BITMAP_BITS)
+def bitmap_of(key_rows: DataFrame) -> np.ndarray:
+    """One bit for each seed: 2 ** BITMAP_BITS bits, whatever the number of keys."""
+    at = F.shiftrightunsigned("key", 64 - BITMAP_BITS)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-    bits = seed_rows.select(F.shiftright(at, 6).alias("slot"), bit.alias("bit"))
+    bits = key_rows.select(F.shiftright(at, 6).alias("slot"), bit.alias("bit"))
     found = bits.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
     out[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out
 
 
+def paired(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The key of two seeds in this order."""
+    mixed = (left.view(np.uint64) * MIX) ^ (right.view(np.uint64) + MIX)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * MIX
+    return (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
+
+
 def item_seeds(items: DataFrame, size: int) -> DataFrame:
-    """(item, seed, words): the seeds of each item and its number of words."""
+    """(item, reach, at, seed, other): each seed of an item, alone and with each that may be a key with it.
+
+    ``reach`` is the least power of four that the item has not more words than.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, _, code, _, doc, _, _, owner in by_run(batch.column(1), size):
+            for low, _, code, first, doc, _, _, owner in by_run(batch.column(1), size):
                 words = np.bincount(owner, minlength=int(doc.max(initial=-1)) + 1)
-                columns = [batch.column(0).take(pa.array(doc + low)), pa.array(code), pa.array(words[doc])]
-                yield pa.RecordBatch.from_arrays(columns, ["item", "seed", "words"])
+                reach = 4 ** np.ceil(np.log2(np.maximum(words, 1)) / 2).astype(np.int64)
+                n, parts = len(code), [(np.arange(len(code)), None)]
+                for step in range(size, REACH + 1):
+                    near = np.arange(max(0, n - step))
+                    parts.append((near[doc[near] == doc[near + step]], step))
+                for at, step in parts:
+                    other = pa.nulls(len(at), pa.int64()) if step is None else pa.array(code[at + step])
+                    start = first[at] - np.searchsorted(owner, doc[at])
+                    columns = [batch.column(0).take(pa.array(doc[at] + low)), pa.array(reach[doc[at]]), pa.array(start), pa.array(code[at]), other]
+                    yield pa.RecordBatch.from_arrays(columns, ["item", "reach", "at", "seed", "other"])
+
+    return items.select("item", "text").mapInArrow(run, "item long, reach long, at long, seed long, other long").distinct()
 
-    return items.select("item", "text").mapInArrow(run, "item long, seed long, words long").distinct()
+
+def seed_counts(docs: DataFrame, bitmap, size: int) -> DataFrame:
+    """(seed, documents) of the seeds in the bitmap; a task adds up a batch before anything is dealt out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.zeros(0, np.int64)]
+            for _, _, code, _, doc, _, _, _ in by_run(batch.column(0), size):
+                hit = in_bitmap(bitmap.value, code)
+                code, doc = code[hit], doc[hit]
+                order = np.lexsort((code, doc))
+                code, doc = code[order], doc[order]
+                parts.append(code[np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1]))[: len(code)]])
+            seed, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(n)], ["seed", "n"])
+
+    return docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("documents"))
+
+
+def item_keys(every: DataFrame, counts: DataFrame) -> DataFrame:
+    """(item, reach, key): in each stretch the rarer half of the seeds, and all pairs of seeds."""
+    alone = every.where("other is null").join(counts, "seed", "left").fillna(0, ["documents"])
+    stretch = [F.col("item"), F.floor(F.col("at") / STRETCH)]
+    ranked = alone.withColumn("rank_", F.row_number().over(Window.partitionBy(*stretch).orderBy("documents", "seed", "at")))
+    ranked = ranked.withColumn("of_", F.count(F.lit(1)).over(Window.partitionBy(*stretch)))
+    rare = ranked.where(F.col("rank_") <= F.ceil(F.col("of_") / 2)).select("item", "reach", F.col("seed").alias("key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = paired(*(batch.column(i).to_numpy().astype(np.int64) for i in (2, 3)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key)], ["item", "reach", "key"])
+
+    pairs = every.where("other is not null").select("item", "reach", "seed", "other")
+    return rare.union(pairs.mapInArrow(run, "item long, reach long, key long")).distinct()
+
+
+def key_hits(code: np.ndarray, first: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Possible keys of a run's seeds: key, first word, word behind the last, document.
+
+    A seed is one alone, and together with each of the two that follow it without overlap.
+    """
+    parts = [(code, first, first + size, doc)]
+    after = np.searchsorted(first, first + size)
+    for more in (0, 1):
+        at = np.flatnonzero(after + more < len(code))
+        other = after[at] + more
+        near = (doc[at] == doc[other]) & (first[other] - first[at] <= SPREAD)
+        at, other = at[near], other[near]
+        parts.append((paired(code[at], code[other]), first[at], first[other] + size, doc[at]))
+    return tuple(np.concatenate(part) for part in zip(*parts))
 
 
-def regions(docs: DataFrame, bitmap, size: int, around: int) -> DataFrame:
-    """(doc_id, place, region, passage, found): words around seeds, the digest of these words, the seeds in them.
+def regions(docs: DataFrame, seeds_bitmap, key_bitmaps, size: int) -> DataFrame:
+    """(doc_id, place, region, reach, passage, found): words around keys, the digest of these words, the keys in them.
 
-    Seeds at most ``around`` words apart share a region, which reaches ``around`` words to both sides.
+    Keys of one reach that are at most that many words apart share a region, which goes so far to both sides.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, place, passage, found = [], [], [], []
+            row, place, reaches, passage, found = [], [], [], [], []
             for low, data, code, first, doc, start, end, owner in by_run(batch.column(0), size):
-                hit = np.flatnonzero(in_bitmap(bitmap.value, code))
-                if not len(hit):
+                hit = in_bitmap(seeds_bitmap.value, code)
+                if not hit.any():
                     continue
-                code, first, doc = code[hit], first[hit], doc[hit]
-                new = np.append(True, (doc[1:] != doc[:-1]) | (first[1:] - first[:-1] > around))
-                for a, b in zip(np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(first))):
-                    own = np.searchsorted(owner, [doc[a], doc[a] + 1])
-                    left, right = max(own[0], first[a] - around), min(own[1], first[b - 1] + size + around)
-                    row.append(int(doc[a]) + low)
-                    place.append(int(left - own[0]))
-                    passage.append(data[start[left] : end[right - 1]].tobytes())
-                    found.append(np.unique(code[a:b]))
+                possible = key_hits(code[hit], first[hit], doc[hit], size)
+                for reach, bitmap in key_bitmaps.value.items():
+                    some = in_bitmap(bitmap, possible[0])
+                    key, left_word, right_word, owner_doc = (part[some] for part in possible)
+                    if not len(key):
+                        continue
+                    order = np.argsort(left_word, kind="stable")
+                    key, left_word, right_word, owner_doc = (part[order] for part in (key, left_word, right_word, owner_doc))
+                    new = np.append(True, (owner_doc[1:] != owner_doc[:-1]) | (left_word[1:] - left_word[:-1] > reach))
+                    for a, b in zip(np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(key))):
+                        own = np.searchsorted(owner, [owner_doc[a], owner_doc[a] + 1])
+                        left, right = max(own[0], left_word[a] - reach), min(own[1], right_word[a:b].max() + reach)
+                        row.append(int(owner_doc[a]) + low)
+                        place.append(int(left - own[0]))
+                        reaches.append(reach)
+                        passage.append(data[start[left] : end[right - 1]].tobytes())
+                        found.append(np.unique(key[a:b]))
             columns = [
                 batch.column(1).take(pa.array(row, pa.int64())),
                 pa.array(place, pa.int64()),
+                pa.array(reaches, pa.int64()),
                 pa.array(passage, pa.binary()),
                 pa.array(found, pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "passage", "found"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "reach", "passage", "found"])
 
-    cut = docs.select("text", "doc_id").mapInArrow(run, "doc_id long, place long, passage binary, found array<long>")
-    return cut.withColumn("region", F.struct(F.xxhash64("passage").alias("h1"), F.xxhash64(F.lit(1), "passage").alias("h2")))
+    cut = docs.select("text", "doc_id").mapInArrow(run, "doc_id long, place long, reach long, passage binary, found array<long>")
+    digest = F.struct(F.xxhash64("passage", "reach").alias("h1"), F.xxhash64(F.lit(1), "passage", "reach").alias("h2"))
+    return cut.withColumn("region", digest)
 
 
-@lru_cache(maxsize=4096)
 def aligned(passage: bytes, item: bytes) -> tuple[float, int]:
     """Best local alignment score over that of the whole item, and the passage's word where it ends."""
     a, b = item.split(), passage.split()
@@ -191,13 +278,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, least: float
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
     items = pick(benchmark, item=item_col, text=item_text).select(F.col("item").cast("long"), "text")
     every = cut_lineage(item_seeds(items, size))
-    bitmap = spark.sparkContext.broadcast(bitmap_of(every))
-    around = every.agg(F.max("words")).first()[0]
-    if around is None:
+    reaches = [r.reach for r in every.select("reach").distinct().collect()]  # a handful of powers of four
+    if not reaches:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, end_word long")
-    cut = cut_lineage(regions(rows, bitmap, size, int(around)))
-    passages = cut.groupBy("region").agg(F.first("passage").alias("passage"), F.first("found").alias("found"))
-    met = passages.select("region", F.explode("found").alias("seed")).join(every.select("seed", "item"), "seed")
+    seeds_bitmap = spark.sparkContext.broadcast(bitmap_of(every.select(F.col("seed").alias("key"))))
+    keys = cut_lineage(item_keys(every, seed_counts(rows, seeds_bitmap, size)))
+    key_bitmaps = spark.sparkContext.broadcast({reach: bitmap_of(keys.where(F.col("reach") == reach)) for reach in sorted(reaches)})
+    cut = cut_lineage(regions(rows, seeds_bitmap, key_bitmaps, size))
+    passages = cut.groupBy("region").agg(F.first("passage").alias("passage"), F.first("reach").alias("reach"), F.first("found").alias("found"))
+    met = passages.select("region", "reach", F.explode("found").alias("key")).join(keys, ["key", "reach"])
     pairs = met.select("region", "item").distinct().join(passages.select("region", "passage"), "region")
     texts = normalised(items).withColumnRenamed("item", "item_").distinct()
     good = alignments(pairs.join(texts, F.col("item").eqNullSafe(F.col("item_"))), least)
@@ -208,8 +297,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, least: float
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs`` whose id has no leak; rows without id go by the leaks of such rows."""
-    leaked = leaks(docs, benchmark, id_col=id_col, **how).select(F.col("doc_id").alias("leaked_")).distinct()
-    return docs.join(leaked, quoted(id_col).eqNullSafe(F.col("leaked_")), "left_anti")
+    leaked = small_side(leaks(docs, benchmark, id_col=id_col, **how).select(F.col("doc_id").alias("leaked_")).distinct())
+    named, same = leaked.where("leaked_ is not null"), quoted(id_col) == F.col("leaked_")
+    # rows without id are apart: in a join they would all be one key
+    without = docs.where(quoted(id_col).isNull() & F.lit(leaked.where("leaked_ is null").isEmpty()))
+    return docs.where(quoted(id_col).isNotNull()).join(named, same, "left_anti").unionByName(without)
 
 
 def op3_decontaminate(spark, folder: str) -> DataFrame:
