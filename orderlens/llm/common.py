@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderlens.functions.expressions import quoted
+from orderlens.session import small_side
 
 #: White space between words, as a Java pattern and as characters. Fixed values.
 BLANK = r"[\x20\x09-\x0D]+"
@@ -46,22 +47,18 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANK, -1))
 
 
-def bounded_sample(rows: DataFrame, stratum: str, per_stratum: int, *key: str, most_strata: int = 1000) -> DataFrame:
+def bounded_sample(rows: DataFrame, stratum: str, per_stratum: int, *key: str) -> DataFrame:
     """At most ``per_stratum`` rows of each stratum, those with the smallest hash of ``key``.
 
-    For few strata (labels, languages). Rows far from the limit are sieved out where they are read,
-    so that the ranking of a stratum is over little more than ``per_stratum`` rows.
+    For any number of strata. Rows far from the limit are sieved out before the ranking, by the counted
+    size of their stratum, so that a ranked stratum has little more than ``per_stratum`` rows.
     """
-    sizes = rows.groupBy(stratum).count().limit(most_strata + 1).collect()
-    if len(sizes) > most_strata:
-        raise ValueError(f"more than {most_strata} strata")
-    sieve = F.lit(False)
-    for value, n in sizes:
-        sieve = F.when(F.col(stratum).eqNullSafe(F.lit(value)), F.col("share_") * n < 1.5 * per_stratum + 50).otherwise(sieve)
-    sieved = rows.withColumn("share_", share(*[F.col(k) for k in key])).where(sieve)
+    sizes = small_side(rows.groupBy(F.col(stratum).alias("stratum_")).agg(F.count(F.lit(1)).alias("n_")))
+    known = rows.withColumn("share_", share(*[F.col(k) for k in key])).join(sizes, F.col(stratum).eqNullSafe(F.col("stratum_")))
+    sieved = known.where(F.col("share_") * F.col("n_") < 1.5 * per_stratum + 50)
     order = Window.partitionBy(stratum).orderBy("share_", *key)
     ranked = sieved.withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= per_stratum)
-    return ranked.drop("share_", "rank_")
+    return ranked.drop("share_", "rank_", "stratum_", "n_")
 
 
 def scored(docs: DataFrame, text_col: str, result: str, function, **extra: Column) -> DataFrame:

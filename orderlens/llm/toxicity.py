@@ -32,6 +32,8 @@ from orderlens.llm.bytesets import bucket, encoded, folded, gram_codes, owners,
 from orderlens.llm.common import bounded_sample, pick, remainder, scored
 
 BITS = 18
+#: Rows of a label whose texts are all too long for the sample.
+LONG_ROWS = 20
 #: Groups of terms that may stand for one another. Fixed values.
 IDENTITY_GROUPS = (
     ("he", "she", "they"),
@@ -161,15 +163,26 @@ def fit(texts: list[str], label: np.ndarray, shares: dict[int, float], penalty:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 3000, sample_chars: int = 30_000, penalty: float = 1.0, groups=IDENTITY_GROUPS) -> ToxicityModel:
-    """Learn from rows of ``labels`` that have an id and a label, and their texts."""
+    """Learn from rows of ``labels`` that have an id and a label, and their texts.
+
+    The sample has at most ``sample_rows`` rows of each label, drawn by hash among those of at most
+    ``sample_chars`` characters; a label with longer texts only is learned from its ``LONG_ROWS`` shortest.
+    """
     known = pick(labels, doc_id=id_col, label=label_col).where("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     sizes = {row.label: row["count"] for row in known.groupBy("label").count().collect()}
     total = sum(sizes.values())
     shares = {k: n / total for k, n in sizes.items()}
-    chosen = bounded_sample(known, "label", sample_rows, "doc_id")
-    rows = pick(docs, doc_id=id_col, text=text_col).where((F.length("text") <= sample_chars) & F.col("doc_id").isNotNull())
-    sample = rows.join(F.broadcast(chosen), "doc_id").select("label", "text").orderBy("doc_id").limit(4 * sample_rows).toArrow()
+    texts = pick(docs, doc_id=id_col, text=text_col).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    sized = texts.select("doc_id", F.length("text").alias("size"), F.xxhash64("text").alias("hash")).distinct().join(known, "doc_id")
+    short = sized.where(F.col("size") <= sample_chars).select("doc_id", "hash", "label")
+    chosen = bounded_sample(short, "label", sample_rows, "doc_id", "hash")
+    absent = [k for k in sizes if k not in {row.label for row in short.select("label").distinct().collect()}]
+    for k in absent:  # a label with long texts only is learned from its shortest
+        chosen = chosen.union(sized.where(F.col("label") == k).orderBy("size", "doc_id", "hash").limit(LONG_ROWS).select("doc_id", "hash", "label"))
+    hashed = texts.withColumn("hash", F.xxhash64("text"))
+    sample = hashed.join(F.broadcast(chosen), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).select("label", "text", "doc_id")
+    sample = sample.orderBy("label", "doc_id", "text").toArrow()
     return fit(sample.column("text").to_pylist(), sample.column("label").to_numpy(), shares, penalty, swaps(groups))
 
 

@@ -177,3 +177,23 @@ def test_base_scores_equal_the_formula(documents, frequent):
         assert (r.held_out, r.n_tokens, r.train_tokens) == (held[r.doc_id], len(words), total)
         assert r.n_known == sum(count[w] > 0 for w in words)
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (total + len(count) + 1)) for w in words), rel=1e-9)
+
+
+def test_any_number_of_languages_and_long_texts_only(spark):
+    rows = [(i, f"text number {i} in language {i % 1100} with words{i % 1100}abc", f"l{i % 1100:04}") for i in range(2200)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=2)
+    assert len(model.languages) == 1100
+    plain = [(i, f"the cat and the dog {i}", "en") for i in range(60)]
+    long = [(100 + i, f"zzyx qwrt vbnm {i} " * 3000, "xx") for i in range(30)]
+    docs = spark.createDataFrame(plain + long, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in language.predict(docs, language.learn(docs)).collect()}
+    assert all(found[100 + i] == "xx" for i in range(30)) and all(found[i] == "en" for i in range(60))
+
+
+def test_a_label_of_long_texts_is_learned(spark):
+    fine = [(i, f"a calm and friendly note number {i}") for i in range(80)]
+    bad = [(100 + i, f"horrid vile insult {i} " * 3000) for i in range(25)]
+    docs = spark.createDataFrame(fine + bad, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in fine + bad], "doc_id long, toxic int")
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect()}
+    assert min(scores[100 + i] for i in range(25)) > max(scores[i] for i in range(80))

@@ -199,3 +199,55 @@ def test_families_confusers_and_unknown(spark, documents):
         else:
             right += row.families == named[row.doc_id]
     assert right >= 0.9 * sum(map(len, licenses.TEMPLATES.values()))
+
+
+def test_very_many_matches_in_one_text(spark):
+    n = 50_000
+    text = " ".join(f"u{i}@host{i % 97}.org" for i in range(n))
+    docs = spark.createDataFrame([(1, text), (2, "clean words here")], "doc_id long, text string")
+    row = pii.found(docs).where("doc_id = 1").first()
+    assert len(row.base) == n and text[row.base[-1].start : row.base[-1].stop] == text.split()[-1]
+    assert pii.sanitised(docs).where("doc_id = 1").first().text == " ".join(["[email]"] * n)
+
+
+def test_terms_far_from_the_address_are_found_everywhere(spark):
+    filler = lambda i: " ".join(f"word{chr(97 + (i * k) % 23)}{chr(97 + k % 7)}" for k in range(1, 30))
+    rows = [(i, f"write to same.person@corp.com {filler(i)} zanzibarcode {filler(i + 3)}") for i in range(40)]
+    rows += [(100 + i, f"please write {filler(i)}") for i in range(400)]
+    rows += [(900, "a note on zanzibarcode without any address")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    found = {r.doc_id: {texts[r.doc_id][s.start : s.stop] for s in r.spans if s.kind in ("removed", "generalised")} for r in pii.found(docs).collect()}
+    assert all("zanzibarcode" in found[i] and "write" not in found[i] for i in range(40))
+    assert found[900] == {"zanzibarcode"} and "zanzibarcode" not in pii.sanitised(docs).where("doc_id = 900").first().text
+
+
+def test_disclosures_equal_brute_force(spark, documents):
+    import random
+
+    drawn = random.Random(3)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(120)]
+    rows = []
+    for i in range(300):
+        mails = [f"m{drawn.randrange(12)}@x.org" for _ in range(drawn.choice([0, 0, 1, 2]))]
+        special = [f"only{chr(97 + int(mails[0][1:].split('@')[0]))}abc"] if mails and drawn.random() < 0.8 else []
+        rows.append((i, " ".join(drawn.sample(words, 8) + mails + special)))
+    rows += [(1000 + k, rows[5][1]) for k in range(4)]  # copies count as documents, not as texts
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *pii.digest(F.col("text")))
+    base = pii.mentions(pii.with_base(docs).select("h1_", "h2_", "base_"))
+    got = {(r.entity, r.term): r.disclosure for r in pii.disclosures(docs.select("h1_", "h2_", "text"), base).collect()}
+    total = len(rows)
+    parts = [(set(re.findall(PATTERNS["email"].replace("(", "(?:"), t)), set(re.findall(r"[^\W\d_]{3,}", re.sub(PATTERNS["email"], " ", t.lower())))) for _, t in rows]
+    texts = [t for _, t in rows]
+    want = {}
+    for entity in {e for mails, _ in parts for e in mails}:
+        with_entity = [i for i, (mails, _) in enumerate(parts) if entity in mails]
+        for term in {t for i in with_entity for t in parts[i][1]}:
+            both = [i for i in with_entity if term in parts[i][1]]
+            with_term = sum(term in terms for _, terms in parts)
+            if len({texts[i] for i in both}) >= pii.SUPPORT:
+                level = math.log2(len(both) * total / (with_term * len(with_entity))) / math.log2(total / len(with_entity))
+                if level >= pii.GENERALISE:
+                    want[entity, term] = min(level, 1.0)
+    assert want and set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k]) for k in want)

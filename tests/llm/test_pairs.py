@@ -137,3 +137,22 @@ def test_verbatim_items_in_the_tables(spark, documents, folder):
     got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(documents, items).collect()}
     assert want <= set(got)
     assert all(got[pair] == 1.0 for pair in want)
+
+
+def test_a_common_word_run_joins_nothing_alone(spark, monkeypatch):
+    """Every document and every item has "one of the", and nothing else in common."""
+    rows = [(i, f"{' '.join(f'd{i}w{k}' for k in range(30))} one of the {' '.join(f'e{i}w{k}' for k in range(30))}") for i in range(300)]
+    items = [(i, f"{' '.join(f'q{i}w{k}' for k in range(20))} one of the {' '.join(f'r{i}w{k}' for k in range(20))}") for i in range(40)]
+    items.append((99, "one of the"))  # an item of nothing else is really in all of them
+    seen = []
+    whole = decontaminate.alignments
+
+    def counted(pairs, least):
+        seen.append(pairs.count())
+        return whole(pairs, least)
+
+    monkeypatch.setattr(decontaminate, "alignments", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, 99) for i in range(300)}
+    assert seen[0] <= 300 + 40
