@@ -8,8 +8,9 @@ that hold e, of N,
     PMI(t, e) = log2(c N / (n(t) n(e))),   disclosure = PMI(t, e) / log2(N / n(e)).
 
 Disclosure is 1 if every document with the term holds the entity. A term that discloses some entity by
-``generalise`` or more is replaced by a general tag, from ``remove`` on it is taken out, in all
-documents and wherever it stands. A pair must be seen in ``support`` different texts, so that copies of one
+``remove`` or more stands for it, and is taken out of all documents, whether they hold the entity or not. One
+that discloses it by ``generalise`` or more is replaced by a general tag wherever it stands in
+the documents that hold the entity. A pair must be seen in ``support`` different texts, so that copies of one
 text prove nothing. Since c is at most n(e), no term with n(t) > N^(1-g) n(e)^g, g being ``generalise``,
 can reach it; such pairs, and entities of a single text, are left out before anything is counted.
 
@@ -178,9 +179,12 @@ def disclosures(rows: DataFrame, mentioning: DataFrame, support: int = SUPPORT,
 def findings(rows: DataFrame, remove: float = REMOVE, **how) -> DataFrame:
     """(h1_, h2_, base_, hits_) of each text with spans or revealing terms; ``hits_`` are its terms and what becomes of them."""
     mentioning = cut_lineage(mentions(with_base(rows).select("h1_", "h2_", "base_")))
-    worst = disclosures(rows, mentioning, **how).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
-    worst = small_side(worst.select("term", (F.col("disclosure") >= remove).alias("removed")), BROADCAST_TERMS)
-    said = rows.select("h1_", "h2_", F.explode(terms(F.col("text"))).alias("term")).join(worst, "term").distinct()
+    revealing = cut_lineage(disclosures(rows, mentioning, **how))
+    worst = revealing.groupBy("term").agg((F.max("disclosure") >= remove).alias("removed"))
+    said = rows.select("h1_", "h2_", F.explode(terms(F.col("text"))).alias("term")).join(small_side(worst, BROADCAST_TERMS), "term").distinct()
+    beside = mentioning.select("h1_", "h2_", F.explode("base_").alias("m")).select("h1_", "h2_", "m.kind", "m.entity")
+    beside = beside.join(revealing, ["kind", "entity"]).select("h1_", "h2_", "term")
+    said = said.where("removed").unionByName(said.where("not removed").join(beside, ["h1_", "h2_", "term"], "left_semi"))
     hits = said.groupBy("h1_", "h2_").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("hits_"))
     return mentioning.drop("rows").join(hits, ["h1_", "h2_"], "full")
 
