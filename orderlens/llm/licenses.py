@@ -1,24 +1,32 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line. Hashed words and pairs of words are the sparse features of a multinomial
-logistic regression (``pyspark.ml``) over the licence families of ``TEMPLATES`` and the class
-``unknown``. It is trained on the template paragraphs, on cut versions of them, on sentences that
-only speak about licences, and on at most ``negatives`` paragraphs of the corpus itself. The unknown
-class is calibrated: on training paragraphs held out from the fit, the threshold that a family's
-probability must reach is set so that at most ``false_rate`` of the negatives reach it. A prediction
-is confirmed if the paragraph shares ``least`` of its word pairs with the family's templates; if
-not, the paragraph is counted as unknown.
-
-Only paragraphs with one of the ``ANCHORS`` are scored: every template paragraph has one, and a
-paragraph without any shares no distinctive word with a licence. Equal texts are scored once.
+A paragraph is a line of at most ``WHOLE`` words; of a longer line each window of ``WINDOW`` words, half a
+window apart, so that a notice is found at any place of it; and the words around each line break, so
+that it is found where it is wrapped. Words of the templates and confusers, and neighbouring
+pairs of them, are the sparse features of a multinomial logistic regression (``pyspark.ml``) over the licence
+families of ``TEMPLATES`` and the class ``unknown``. It is trained on the template paragraphs, on cut versions
+of them, on sentences that only speak about licences, and on at most ``negatives`` paragraphs of the corpus
+itself that share under ``FEW`` of their word pairs with every template: first those that would be scored.
+The unknown class is calibrated on a quarter of these rows that the fit never saw: the threshold that a
+family's probability must reach is set so that at most ``false_rate`` of the negatives reach it.
+
+A prediction is confirmed by one template of the family: the paragraph shares ``least`` of the pairs of the
+shorter of the two, and some of the template's key pairs. Those hold a word that tells its family from most
+others, such as a licence's name; without one, wording that many licences share proves nothing.
+
+Only paragraphs with a key pair of a template or one of the ``ANCHORS`` are scored: no other can be
+confirmed. Equal texts are scored once.
 
 Everything is DataFrame functions and ``pyspark.ml``. Edge cases: null and empty texts have no
 paragraphs. Repeated rows get repeated results. Rows without id are scanned. An empty table gives an
-empty result. Very long paragraphs are read whole. Other columns of the input are not read.
+empty result. Very long texts and lines are read whole. Of families of equal chance the last by name is taken.
+Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -33,7 +41,9 @@ from orderlens.llm.pii import digest
 from orderlens.session import cut_lineage
 
 UNKNOWN = "unknown"
-FEATURES, NEGATIVES, FALSE_RATE, LEAST = 1 << 13, 3000, 0.01, 0.5
+FEATURES, NEGATIVES, FALSE_RATE, LEAST, FEW = 1 << 13, 3000, 0.01, 0.6, 0.3
+#: Words of a line that is taken whole, and of the windows of a longer one.
+WHOLE, WINDOW = 32, 24
 
 #: Opening and key sentences of well-known licences and usual notices, by family. Fixed values.
 TEMPLATES = {
@@ -42,6 +52,7 @@ TEMPLATES = {
         "Licensed under the MIT License.",
         "The MIT License (MIT)",
         "SPDX-License-Identifier: MIT",
+        "MIT License",
         "This project is distributed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
@@ -50,6 +61,7 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "SPDX-License-Identifier: Apache-2.0",
+        "Apache-2.0",
         "Released under the Apache License 2.0.",
         "Apache License Version 2.0, January 2004",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
@@ -60,6 +72,7 @@ TEMPLATES = {
         "Licensed under the GNU General Public License version 2.",
         "Released under the GPL v3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GPL-3.0",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program.",
         "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
@@ -67,6 +80,7 @@ TEMPLATES = {
     "lgpl": (
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "SPDX-License-Identifier: LGPL-2.1-only",
+        "LGPL-2.1",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
         "GNU LESSER GENERAL PUBLIC LICENSE Version 3",
     ),
@@ -74,6 +88,7 @@ TEMPLATES = {
         "Released under the BSD 3-Clause License.",
         "Licensed under the 2-clause BSD license.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
@@ -135,11 +150,44 @@ CONFUSERS = (
 #: In lower case; every template paragraph has one of them. Fixed values.
 ANCHORS = (
     "licen", "copyright", "warrant", "permission", "redistribut", "rights reserved", "public domain",
-    "creative commons", "mozilla", "gpl", "proprietary", "prohibited", "obtain one at",
+    "creative commons", "mozilla", "gpl", "proprietary", "prohibited", "obtain one at", "apache", "bsd",
 )
 LETTERS = r"[^\p{L}\p{N}]+"
 
 
+def plain_words(text: str) -> list[str]:
+    return [word for word in re.split(r"[\W_]+", text.lower()) if word]
+
+
+def template_rows() -> list[tuple[int, str, list[str], list[str], list[str]]]:
+    """(number, family, pairs, key pairs, key words) of each template.
+
+    Its key words are those, numbers apart, that the fewest families use; a key pair holds one of them.
+    """
+    families = defaultdict(set)
+    for family, texts in TEMPLATES.items():
+        for text in texts:
+            for word in plain_words(text):
+                families[word].add(family)
+    rows = []
+    for family, texts in TEMPLATES.items():
+        for text in texts:
+            words = plain_words(text)
+            fewest = min(len(families[word]) for word in words if not word.isdigit())
+            key = {word for word in words if not word.isdigit() and len(families[word]) == fewest}
+            pairs = sorted(set(zip(words, words[1:])))
+            keys = [" ".join(pair) for pair in pairs if key & set(pair)]
+            rows.append((len(rows), family, [" ".join(pair) for pair in pairs], keys, sorted(key)))
+    return rows
+
+
+TEMPLATE_ROWS = template_rows()
+KEY_PAIRS = sorted({pair for *_, keys, _ in TEMPLATE_ROWS for pair in keys})
+KEY_WORDS = sorted({word for *_, words in TEMPLATE_ROWS for word in words})
+VOCABULARY = sorted({word for texts in (*TEMPLATES.values(), CONFUSERS) for text in texts for word in plain_words(text)})
+TEMPLATE_TYPE = "number int, family string, pairs array<string>, keys array<string>, words array<string>"
+
+
 def anchored(text: Column) -> Column:
     lower = F.lower(text)
     return reduce(lambda a, b: a | b, [lower.contains(anchor) for anchor in ANCHORS])
@@ -151,30 +199,83 @@ def tokens_of(text: Column) -> Column:
 
 def pairs_of(tokens: Column) -> Column:
     """Pairs of neighbouring words; the word itself where there is one only."""
-    pair = lambda i: F.concat_ws(" ", F.get(tokens, i), F.get(tokens, i + 1))
-    return F.when(F.size(tokens) > 1, F.transform(F.sequence(F.lit(0), F.size(tokens) - 2), pair)).otherwise(tokens)
+    following = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
+    pairs = F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), following, lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(F.size(tokens) > 1, pairs).otherwise(tokens)
 
 
 def with_grams(rows: DataFrame, text_col: str = "paragraph") -> DataFrame:
+    """``rows`` with ``pairs_``, all distinct pairs of a paragraph, and ``grams_``, its features."""
+    known = lambda gram: F.forall(F.split(gram, " "), lambda word: word.isin(VOCABULARY))
     split = rows.withColumn("tokens_", tokens_of(F.col(text_col)))
-    paired = split.withColumn("pairs_", pairs_of(F.col("tokens_")))
-    return paired.withColumn("grams_", F.concat("tokens_", "pairs_")).drop("tokens_")
+    paired = split.withColumn("pairs_", F.array_distinct(pairs_of(F.col("tokens_"))))
+    return paired.withColumn("grams_", F.filter(F.concat("tokens_", "pairs_"), known)).drop("tokens_")
+
+
+def compared(own: Column, pairs: Column) -> Column:
+    """The number of pairs of the shorter one: of a paragraph, three at least, or of a template."""
+    return F.least(F.size(pairs), F.greatest(F.size(own), F.lit(3)))
+
+
+def confirmed_by(own: Column, template: Column, least: float) -> Column:
+    both = F.size(F.array_intersect(own, template["pairs"]))
+    keys = F.size(F.array_intersect(own, template["keys"]))
+    enough = F.when(F.size(template["keys"]) > 3, 2).otherwise(1)
+    return (both >= least * compared(own, template["pairs"])) & (keys >= enough)
+
+
+def far_from_templates(pieces: DataFrame, few: float = FEW) -> DataFrame:
+    """``pieces`` (paragraph, pairs_) that share less than ``few`` of their pairs with every template."""
+    templates = pieces.sparkSession.createDataFrame(TEMPLATE_ROWS, TEMPLATE_TYPE)
+    known = templates.select("number", "pairs", F.explode("pairs").alias("pair"))
+    met = pieces.select("paragraph", "pairs_", F.explode("pairs_").alias("pair")).join(F.broadcast(known), "pair")
+    size = F.first(compared(F.col("pairs_"), F.col("pairs")))
+    near = met.groupBy("paragraph", "number").agg((F.count(F.lit(1)) / size).alias("shared")).where(F.col("shared") >= few)
+    return pieces.join(near.select("paragraph").distinct(), "paragraph", "left_anti")
+
+
+def units(rows: DataFrame) -> DataFrame:
+    """(the other columns, line, whole, paragraph) of ``rows`` with ``text``: the paragraphs of each text.
+
+    ``whole`` tells the windows of a line from the words around the break after it.
+    """
+    others = [c for c in rows.columns if c != "text"]
+    held = rows.select(*others, F.split(F.lower("text"), "\n", -1).alias("lines_"))
+    held = held.select(*others, F.posexplode(F.arrays_zip(F.col("lines_").alias("now"), F.slice("lines_", 2, F.size("lines_")).alias("next"))).alias("line", "both_"))
+    split = held.select(*others, "line", tokens_of(F.col("both_.now")).alias("now_"), tokens_of(F.substring(F.coalesce("both_.next", F.lit("")), 1, 40 * WINDOW)).alias("next_"))
+    half = WINDOW // 2
+    windows = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("now_") - half, F.lit(1)), F.lit(half)), lambda i: F.struct(F.lit(True).alias("whole"), F.slice("now_", i, WINDOW).alias("words"))
+    )
+    single = F.array(F.struct(F.lit(True).alias("whole"), F.col("now_").alias("words")))
+    end = F.slice("now_", F.greatest(F.size("now_") - half + 1, F.lit(1)), half)
+    around = F.struct(F.lit(False).alias("whole"), F.concat(end, F.slice("next_", 1, half)).alias("words"))
+    wrapped = F.when((F.size("now_") > 0) & (F.size("next_") > 0), F.array(around)).otherwise(F.array().cast("array<struct<whole:boolean,words:array<string>>>"))
+    parts = F.concat(F.when(F.size("now_") > WHOLE, windows).otherwise(single), wrapped)
+    each = split.select(*others, "line", F.explode(parts).alias("part_"))
+    return each.select(*others, "line", "part_.whole", F.array_join("part_.words", " ").alias("paragraph")).where("paragraph != ''")
+
+
+def candidate(paragraph: Column) -> Column:
+    """Whether a paragraph (words joined by spaces) has a key pair of a template or an anchor."""
+    told = F.split(paragraph, " ")
+    keyed = F.exists(told, lambda word: word.isin(KEY_WORDS)) & F.exists(pairs_of(told), lambda pair: pair.isin(KEY_PAIRS))
+    return keyed | anchored(paragraph)
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Anchored paragraphs (h1_, h2_, paragraph) of distinct texts; and all rows (doc_id, h1_, h2_)."""
+    """Candidate paragraphs (h1_, h2_, line, whole, paragraph) of distinct texts; and all rows (doc_id, h1_, h2_)."""
     rows = pick(docs, doc_id=id_col, text=text_col)
     rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
-    found = rows.where(anchored(F.col("text"))).select(
-        *digest(F.col("text")), F.explode(F.filter(F.split("text", "\n", -1), anchored)).alias("paragraph")
-    )
+    found = units(rows.select(*digest(F.col("text")), "text")).where(candidate(F.col("paragraph")))
     return found.distinct(), rows.select("doc_id", *digest(F.col("text")))
 
 
 def training_rows(spark: SparkSession, docs: DataFrame, negatives: int, id_col: str, text_col: str) -> DataFrame:
     """(family, paragraph, copy): templates and confusers whole and cut, paragraphs of the corpus.
 
-    Of a cut version about a tenth of the words are missing; which ones follows from a hash.
+    Of a cut version about a tenth of the words are missing; which ones follows from a hash. The
+    paragraphs of the corpus are at most ``negatives``, from about as many texts drawn by hash.
     """
     known = [(family, text) for family, texts in TEMPLATES.items() for text in texts]
     rows = spark.createDataFrame(known + [(UNKNOWN, text) for text in CONFUSERS], "family string, paragraph string")
@@ -183,10 +284,12 @@ def training_rows(spark: SparkSession, docs: DataFrame, negatives: int, id_col:
     cut = copies.withColumn("paragraph", F.array_join(F.filter(F.split("paragraph", " "), stays), " "))
     texts = pick(docs, doc_id=id_col, text=text_col).where("text is not null")
     total = texts.count()
-    sampled = texts.where(share(F.col("doc_id"), F.lit(10)) * total < negatives)
-    lines = sampled.select("doc_id", F.explode(F.slice(F.filter(F.split("text", "\n"), lambda line: ~anchored(line) & (F.length(line) < 2000)), 1, 3)).alias("paragraph"))
-    ordinary = lines.select(F.lit(UNKNOWN).alias("family"), "paragraph", (F.crc32("paragraph") % 16).cast("int").alias("copy"))
-    return cut.unionByName(ordinary.limit(3 * negatives))
+    sampled = texts.where(share(F.col("doc_id"), F.lit(10)) * total < negatives).select("text")
+    pieces = with_grams(units(sampled).select("paragraph").distinct()).withColumn("candidate_", candidate(F.col("paragraph")))
+    far = far_from_templates(cut_lineage(pieces))
+    drawn = far.orderBy(F.desc("candidate_"), F.xxhash64("paragraph"), "paragraph").limit(negatives)
+    ordinary = drawn.select(F.lit(UNKNOWN).alias("family"), "paragraph", (F.crc32("paragraph") % 16).cast("int").alias("copy"))
+    return cut.unionByName(ordinary)
 
 
 def learn(docs: DataFrame, negatives: int = NEGATIVES, false_rate: float = FALSE_RATE, id_col: str = "doc_id", text_col: str = "text") -> tuple[PipelineModel, float]:
@@ -218,20 +321,24 @@ def predicted(rows: DataFrame, model: PipelineModel) -> DataFrame:
 def scanned(docs: DataFrame, model: PipelineModel, threshold: float, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, families (sorted, comma-joined), n_confirmed, n_unknown, chance.
 
-    ``n_unknown`` counts anchored paragraphs that no family was confirmed for.
+    ``n_confirmed`` counts the lines in which, or from which on, a family is confirmed; ``n_unknown`` those with
+    candidates and none confirmed.
     """
     spark = docs.sparkSession
     found, rows = paragraphs(docs, id_col, text_col)
-    templates = spark.createDataFrame([(family, text) for family, texts in TEMPLATES.items() for text in texts], "family string, paragraph string")
-    pairs = with_grams(templates).groupBy("family").agg(F.array_distinct(F.flatten(F.collect_list("pairs_"))).alias("known_"))
-    scored = predicted(with_grams(found), model).join(F.broadcast(pairs), "family")  # a row for each family
-    own = F.array_distinct("pairs_")
-    shared = F.size(F.array_intersect(own, F.col("known_"))) / F.greatest(F.size(own), F.lit(1))
-    judged = scored.withColumn("confirmed", (F.col("chance") >= threshold) & (shared >= least))
-    each = judged.groupBy("h1_", "h2_").agg(
-        F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"),
-        F.sum(F.col("confirmed").cast("long")).alias("n_confirmed"),
-        F.sum((~F.col("confirmed")).cast("long")).alias("n_unknown"),
+    templates = spark.createDataFrame(TEMPLATE_ROWS, TEMPLATE_TYPE).groupBy("family").agg(F.collect_list(F.struct("pairs", "keys")).alias("known_"))
+    scored = predicted(with_grams(found), model).join(F.broadcast(templates), "family")  # a row for each family
+    proven = F.exists("known_", lambda template: confirmed_by(F.col("pairs_"), template, least))
+    judged = scored.withColumn("confirmed", (F.col("chance") >= threshold) & proven)
+    lines = judged.groupBy("h1_", "h2_", "line").agg(
+        F.collect_set(F.when(F.col("confirmed"), F.col("family"))).alias("families"),
+        F.max("whole").alias("whole"),
+        F.max("chance").alias("chance"),
+    )
+    each = lines.groupBy("h1_", "h2_").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("families")))).alias("families"),
+        F.sum((F.size("families") > 0).cast("long")).alias("n_confirmed"),
+        F.sum(((F.size("families") == 0) & F.col("whole")).cast("long")).alias("n_unknown"),
         F.max("chance").alias("chance"),
     )
     return rows.join(each, ["h1_", "h2_"], "left").select(

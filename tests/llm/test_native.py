@@ -251,3 +251,34 @@ def test_disclosures_equal_brute_force(spark, documents):
                     want[entity, term] = min(level, 1.0)
     assert want and set(got) == set(want)
     assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_notices_inside_lines_wrapped_and_other_licences(spark, documents):
+    """Wherever a notice stands it is found, and a licence without template is no other one."""
+    model, threshold = licenses.learn(documents, negatives=200)
+    filler = [f"{a}{b}" for a in ("mo", "ta", "ri", "lu", "ke") for b in ("ban", "dor", "sil", "fen")]
+    rows, want = [], {}
+    for k, (notice, family) in enumerate(NOTICES.items()):
+        words = notice.split()
+        for place in (0, 3, 17, 60, 141, 200):
+            line = [filler[(i * 7 + k) % 20] for i in range(200)]
+            rows.append((len(rows), " ".join(line[:place] + words + line[place:])))
+            want[len(rows) - 1] = family
+        for cut in range(2, len(words) - 1):
+            rows.append((len(rows), "\n".join([" ".join(filler[:9] + words[:cut]), " ".join(words[cut:] + filler)])))
+            want[len(rows) - 1] = family
+    for text, family in [
+        ("Licensed under the Eclipse Public License 2.0", ""),
+        ("Released under the Eclipse License 2.0.", ""),
+        ("This code is Apache-2.0", "apache"),
+        ("Released under the MIT License.\nLicensed under the Apache License, Version 2.0.", "apache,mit"),
+        (" ".join(filler * 50), ""),
+    ]:
+        rows.append((len(rows), text))
+        want[len(rows) - 1] = family
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.families for r in licenses.scanned(docs, model, threshold).collect()}
+    wrong = [(text, got[i], want[i]) for i, text in rows if got[i] != want[i]]
+    assert not [w for w in wrong if w[1] and w[1] != w[2]]  # never a wrong family
+    assert not [w for w in wrong if len(w[0]) < 90]
+    assert len(wrong) <= 0.1 * len(rows), wrong
