@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -188,11 +187,6 @@ VOCABULARY = sorted({word for texts in (*TEMPLATES.values(), CONFUSERS) for text
 TEMPLATE_TYPE = "number int, family string, pairs array<string>, keys array<string>, words array<string>"
 
 
-def anchored(text: Column) -> Column:
-    lower = F.lower(text)
-    return reduce(lambda a, b: a | b, [lower.contains(anchor) for anchor in ANCHORS])
-
-
 def tokens_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), LETTERS, -1), lambda word: word != "")
 
@@ -234,10 +228,11 @@ def far_from_templates(pieces: DataFrame, few: float = FEW) -> DataFrame:
     return pieces.join(near.select("paragraph").distinct(), "paragraph", "left_anti")
 
 
-def units(rows: DataFrame) -> DataFrame:
+def units(rows: DataFrame, candidates: bool = False) -> DataFrame:
     """(the other columns, line, whole, paragraph) of ``rows`` with ``text``: the paragraphs of each text.
 
-    ``whole`` tells the windows of a line from the words around the break after it.
+    ``whole`` tells the windows of a line from the words around the break after it. ``candidates`` leaves out
+    all but the candidates, before a window becomes a row or a text.
     """
     others = [c for c in rows.columns if c != "text"]
     held = rows.select(*others, F.split(F.lower("text"), "\n", -1).alias("lines_"))
@@ -252,22 +247,22 @@ def units(rows: DataFrame) -> DataFrame:
     around = F.struct(F.lit(False).alias("whole"), F.concat(end, F.slice("next_", 1, half)).alias("words"))
     wrapped = F.when((F.size("now_") > 0) & (F.size("next_") > 0), F.array(around)).otherwise(F.array().cast("array<struct<whole:boolean,words:array<string>>>"))
     parts = F.concat(F.when(F.size("now_") > WHOLE, windows).otherwise(single), wrapped)
-    each = split.select(*others, "line", F.explode(parts).alias("part_"))
+    kept = F.filter(parts, lambda part: candidate(part["words"])) if candidates else parts
+    each = split.select(*others, "line", F.explode(kept).alias("part_"))
     return each.select(*others, "line", "part_.whole", F.array_join("part_.words", " ").alias("paragraph")).where("paragraph != ''")
 
 
-def candidate(paragraph: Column) -> Column:
-    """Whether a paragraph (words joined by spaces) has a key pair of a template or an anchor."""
-    told = F.split(paragraph, " ")
+def candidate(told: Column) -> Column:
+    """Whether the words of a paragraph have a key pair of a template or an anchor."""
     keyed = F.exists(told, lambda word: word.isin(KEY_WORDS)) & F.exists(pairs_of(told), lambda pair: pair.isin(KEY_PAIRS))
-    return keyed | anchored(paragraph)
+    return keyed | F.array_join(told, " ").rlike("|".join(ANCHORS))
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Candidate paragraphs (h1_, h2_, line, whole, paragraph) of distinct texts; and all rows (doc_id, h1_, h2_)."""
     rows = pick(docs, doc_id=id_col, text=text_col)
     rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
-    found = units(rows.select(*digest(F.col("text")), "text")).where(candidate(F.col("paragraph")))
+    found = units(rows.select(*digest(F.col("text")), "text"), candidates=True)
     return found.distinct(), rows.select("doc_id", *digest(F.col("text")))
 
 
@@ -285,7 +280,7 @@ def training_rows(spark: SparkSession, docs: DataFrame, negatives: int, id_col:
     texts = pick(docs, doc_id=id_col, text=text_col).where("text is not null")
     total = texts.count()
     sampled = texts.where(share(F.col("doc_id"), F.lit(10)) * total < negatives).select("text")
-    pieces = with_grams(units(sampled).select("paragraph").distinct()).withColumn("candidate_", candidate(F.col("paragraph")))
+    pieces = with_grams(units(sampled).select("paragraph").distinct()).withColumn("candidate_", candidate(F.split("paragraph", " ")))
     far = far_from_templates(cut_lineage(pieces))
     drawn = far.orderBy(F.desc("candidate_"), F.xxhash64("paragraph"), "paragraph").limit(negatives)
     ordinary = drawn.select(F.lit(UNKNOWN).alias("family"), "paragraph", (F.crc32("paragraph") % 16).cast("int").alias("copy"))
