@@ -23,7 +23,7 @@ from orderlens.columns import FEATURES, ITEM_KEY, ITEM_ORDER, NUMERIC
 from orderlens.functions.expressions import REPORT_BANDS, confidence_band
 from orderlens.operators import evaluation, features, ordered, paging, scoring
 from orderlens.plans import bundle as bundles
-from orderlens.plans import forecast, models, preparation, trees
+from orderlens.plans import folds, forecast, models, preparation, trees
 from orderlens.plans.growth import Growth
 from orderlens.session import scratch_path
 from orderlens.sources import files
@@ -493,6 +493,49 @@ def linear_cross_validation(spark, folder):
     return rounded(evaluation.fold_summary(scores), {"cv_mean": 8, "cv_std": 8})
 
 
+_FOLD_SUMS = """folded AS (SELECT sales AS y, quantity AS a, benefit AS b, FOLD AS fold FROM items),
+parts AS (
+  SELECT k AS fold, y, a, b, fold = k AS held FROM folded, (SELECT unnest(range(5)) AS k)
+), train AS (
+  SELECT fold, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb,
+         covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb
+  FROM parts WHERE NOT held GROUP BY fold
+), penalties AS (
+  SELECT fold, 'ridge' AS model, 1.0 / n AS l2, 0.0 AS l1 FROM train
+  UNION ALL SELECT fold, 'elastic_net', 0.05, 0.05 FROM train
+), signed AS (
+  SELECT *, (aa + l2) * (bb + l2) - ab * ab AS det,
+         sign(ay * (bb + l2) - yb * ab) AS sa, sign(yb * (aa + l2) - ay * ab) AS sb
+  FROM train JOIN penalties USING (fold)
+), lines AS (
+  SELECT fold, model, ((ay - l1 * sa) * (bb + l2) - (yb - l1 * sb) * ab) / det AS wa,
+         ((yb - l1 * sb) * (aa + l2) - (ay - l1 * sa) * ab) / det AS wb, ma, mb, my
+  FROM signed
+)""".replace("FOLD", md5_bucket(ITEM_KEY, 5, 43))
+
+
+@query(
+    on_items(
+        "SELECT model, fold, round(1 - avg((y - p) * (y - p)) / var_pop(y), 8) AS r2 FROM ("
+        "SELECT model, fold, y, my + wa * (a - ma) + wb * (b - mb) AS p FROM parts JOIN lines USING (fold) WHERE held"
+        ") GROUP BY model, fold",
+        _FOLD_SUMS,
+    )
+)
+def penalised_line_cross_validation(spark, folder):
+    """Both penalised members of two features; neither weight is driven to zero here, so SQL can solve them."""
+    items = order_items(spark, folder, [*ITEM_KEY, "sales", "quantity", "benefit"])
+    rows = VectorAssembler(inputCols=["quantity", "benefit"], outputCol="features").transform(preparation.with_fold(items, ITEM_KEY))
+    return rounded(folds.linear_scores(rows, preparation.FOLDS, ["ridge", "elastic_net"]), {"r2": 8})
+
+
+@query()
+def linear_members_cross_validation(spark, folder):
+    """All linear members on all prepared features, all folds from one set of products."""
+    train = _prepared(spark, folder, trailing=False).part("train")
+    return folds.linear_scores(train.select("features", "sales", "fold"), preparation.FOLDS)
+
+
 @query()
 def feature_importances(spark, folder):
     """R16, L4"""
