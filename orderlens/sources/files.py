@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from orderlens.columns import SPELLINGS
 from orderlens.functions.expressions import nan_to_null, quoted
+from orderlens.sources import csv_records
 
 # Texts that stand for a missing value in a CSV file.
 MISSING_TEXTS = [
@@ -45,12 +46,6 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
 
 
-def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
-    """True if some line has an odd number of quotes: then a quoted text goes on in the next line."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-
-
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -61,13 +56,23 @@ def read_csv(
     """CSV with a header line. Without an encoding it is detected, without a schema inferred.
 
     A schema is matched by the names of the header, whatever the order of the columns; a name that
-    the file lacks is an error. ``multi_line`` allows line breaks inside quotes, at the price of one
-    task per file; by default it is used only where the file has such breaks.
+    the file lacks is an error. Without ``multi_line`` one scan finds the encoding and whether quoted
+    texts hold line breaks; files that have them are read by many tasks (``csv_records``). With
+    ``multi_line`` Spark's own reader takes such a file in one task. It is also taken where the text
+    leaves no other way: quotes inside unquoted values, carriage returns inside lines, an encoding of
+    several bytes a character other than UTF-8.
     """
-    if multi_line is None:
-        multi_line = has_quoted_breaks(spark, path)
+    found = None
+    if multi_line is None and (encoding is None or encoding.upper() in csv_records.BYTEWISE):
+        found = csv_records.survey(spark, path)
+        encoding = encoding or ("UTF-8" if found.valid_utf8 else "ISO-8859-1")
+    breaks = found.quoted_breaks if found is not None else multi_line is not False
     reader = spark.read.option("header", True).option("encoding", encoding or detect_encoding(spark, path))
-    texts = reader.option("escape", '"').option("multiLine", multi_line).csv(path)
+    texts = reader.option("escape", '"').option("multiLine", breaks).csv(path)
+    if found is not None and breaks and not found.lone_returns:
+        rows = csv_records.records(spark, path, found.ranges, encoding.upper())
+        if rows.where(~csv_records.well_formed(F.col("record"))).isEmpty():
+            texts = csv_records.parsed(rows, texts.columns)
     if schema is None:
         return infer_types(texts)
     absent = missing_columns(texts, schema.names)
