@@ -21,7 +21,7 @@ from orderlens.catalog.base import (
 )
 from orderlens.columns import FEATURES, ITEM_KEY, ITEM_ORDER, NUMERIC
 from orderlens.functions.expressions import REPORT_BANDS, confidence_band
-from orderlens.operators import evaluation, features, ordered, paging, scoring
+from orderlens.operators import categories, evaluation, features, ordered, paging, scoring
 from orderlens.plans import bundle as bundles
 from orderlens.plans import folds, forecast, models, preparation, trees
 from orderlens.plans.growth import Growth
@@ -493,6 +493,35 @@ def linear_cross_validation(spark, folder):
     return rounded(evaluation.fold_summary(scores), {"cv_mean": 8, "cv_std": 8})
 
 
+_LEVELS_SQL = """LEVELS_OF AS (
+  SELECT value, row_number() OVER (ORDER BY value) - 1 AS idx FROM (
+    SELECT coalesce(CAST(NAME AS VARCHAR), '__null__') AS value FROM coded GROUP BY 1 HAVING count(*) >= 5)
+)"""
+
+
+@query(
+    on_items(
+        f"SELECT {_KEY}, coalesce(p.idx, (SELECT count(*) FROM part_levels)) AS part_index, "
+        "coalesce(m.idx, (SELECT count(*) FROM market_levels)) AS market_index FROM coded "
+        "LEFT JOIN part_levels p ON p.value = coded.part LEFT JOIN market_levels m ON m.value = coalesce(coded.market, '__null__')",
+        "coded AS (SELECT *REPLACE (CASE WHEN market <> 'ASIA' THEN market END AS market), "
+        "'p' || CAST(part_id AS VARCHAR) AS part FROM items)",
+        _LEVELS_SQL.replace("LEVELS_OF", "part_levels").replace("NAME", "part"),
+        _LEVELS_SQL.replace("LEVELS_OF", "market_levels").replace("NAME", "market"),
+    )
+)
+def category_levels(spark, folder):
+    """M1 for columns of any number of values: a stored dictionary, rare values (below five rows) share a level."""
+    items = order_items(spark, folder, [*ITEM_KEY, "market"])
+    coded = items.withColumns(
+        {"part": F.concat(F.lit("p"), F.col("part_id").cast("string")), "market": F.when(F.col("market") != "ASIA", F.col("market"))}
+    )
+    path = scratch_path(spark, "dictionary")
+    categories.save_dictionary(categories.learn_dictionary(coded, ["part", "market"], 5), path)
+    found = categories.with_levels(coded, categories.load_dictionary(spark, path), ["part", "market"])
+    return found.select(*ITEM_KEY, "part_index", "market_index")
+
+
 _FOLD_SUMS = """folded AS (SELECT sales AS y, quantity AS a, benefit AS b, FOLD AS fold FROM items),
 parts AS (
   SELECT k AS fold, y, a, b, fold = k AS held FROM folded, (SELECT unnest(range(5)) AS k)

@@ -13,10 +13,13 @@ from orderlens.columns import TARGET
 from orderlens.functions.expressions import is_numeric, missing, numeric_columns, one_row_to_long, pearson, quoted, string_columns
 from orderlens.operators.predicates import distinct_values
 from orderlens.operators.quantiles import exact_quantiles
+from orderlens.operators.wide import block_correlations
 
 
 # Column pairs whose correlations one aggregate computes.
 PAIRS_A_PASS = 1225
+# Passes up to which a correlation matrix is put together from such aggregates.
+MOST_PASSES = 4
 
 
 def table_shape(df: DataFrame, n_columns: int | None = None) -> DataFrame:
@@ -163,10 +166,15 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """Pearson correlation of every column pair over the rows that have both values; NULL for a constant column.
 
     Up to ``PAIRS_A_PASS`` pairs (50 columns) share one pass over the table; more of them take
-    further passes, so that no aggregate grows with the square of the table's width.
+    further passes, so that no aggregate grows with the square of the table's width. Beyond
+    ``MOST_PASSES`` of these all pairs come from products of blocks of rows, in one pass (``wide``).
     """
     names = list(columns) if columns is not None else numeric_columns(df)
     pairs = list(combinations(names, 2))
+    if len(pairs) > MOST_PASSES * PAIRS_A_PASS:
+        found = block_correlations(df, names)
+        if found is not None:
+            return found
     result = df.sparkSession.createDataFrame([], "a string, b string, r double")
     for first in range(0, len(pairs), PAIRS_A_PASS):
         part = pairs[first : first + PAIRS_A_PASS]

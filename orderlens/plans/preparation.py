@@ -16,6 +16,7 @@ from pyspark.ml.feature import (
     OneHotEncoder,
     SQLTransformer,
     StringIndexer,
+    StringIndexerModel,
     UnivariateFeatureSelector,
     VectorAssembler,
 )
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from orderlens.columns import CATEGORICAL, NUMERIC, TARGET
 from orderlens.functions.expressions import EPSILON, hash_bucket, quoted
-from orderlens.operators.predicates import distinct_values
+from orderlens.operators.categories import NO_VALUE, frequent_values
 from orderlens.operators.quantiles import approximate_quantiles, exact_quantiles
 
 # Seed, split shares in percent, number of folds, features to keep.
@@ -33,8 +34,7 @@ TRAIN, VALIDATION, TEST = 60, 20, 20
 FOLDS = 5
 BEST_FEATURES = 150
 
-NO_VALUE = "__null__"
-# Distinct values of a categorical column up to which it is one-hot encoded.
+# Values of a categorical column that get an entry of the feature vector each.
 MAX_CATEGORIES = 10_000
 # Steps of the stored percentile curve.
 PERCENTILE_STEPS = 200
@@ -185,9 +185,9 @@ def fit_preparation(
     of the whole table and are therefore computed before. Quartiles for imputing and scaling are
     exact, as in ``median_impute`` and ``robust_scale``; with ``exact_quartiles=False`` they come
     from one bounded sketch pass. ``percentile_steps`` is the size of the stored percentile curve.
-    A column with more than ``max_categories`` distinct values, by exact count, is refused: its
-    one-hot labels would be held by the driver. The F scores are computed only if there are more
-    than ``best`` features to choose from.
+    Of a column with more than ``max_categories`` distinct values, by exact count, those with the most
+    rows get a column of the vector each, all others and unknown ones share one. The F scores are
+    computed only if there are more than ``best`` features to choose from.
     """
     stages = [_row_feature_stage(numeric, categorical)]
     rows = stages[0].transform(train)
@@ -201,22 +201,10 @@ def fit_preparation(
 
     encoded = []
     if categorical:
-        _check_categories(rows, categorical, max_categories)
-        indexer = StringIndexer(
-            inputCols=[f"{c}_filled" for c in categorical],
-            outputCols=[f"{c}_index" for c in categorical],
-            handleInvalid="keep",
-            stringOrderType="alphabetAsc",
-        ).fit(rows)
-        rows = indexer.transform(rows)
-        # The index after the known values stands for unknown ones; dropping it leaves them all zeros.
-        encoder = OneHotEncoder(
-            inputCols=[f"{c}_index" for c in categorical],
-            outputCols=[f"{c}_onehot" for c in categorical],
-            dropLast=True,
-        ).fit(rows)
-        rows = encoder.transform(rows)
-        stages += [indexer, encoder]
+        encoders = _category_stages(rows, categorical, max_categories)
+        for stage in encoders:
+            rows = stage.transform(rows)
+        stages += encoders
         encoded = [f"{c}_onehot" for c in categorical]
 
     inputs = [*encoded, *[f"{c}_scaled" for c in names]]
@@ -236,12 +224,36 @@ def best_features(features: str, target: str, output: str, best: int) -> Univari
     return selector.setFeatureType("continuous").setLabelType("continuous").setSelectionThreshold(best)
 
 
-def _check_categories(df: DataFrame, categorical: Sequence[str], limit: int) -> None:
-    """One-hot labels are held by the driver; refuse columns that are not categorical in size."""
-    counts = distinct_values(df, categorical).groupBy("column").count()
-    large = sorted(row["column"] for row in counts.where(F.col("count") > limit).collect())
-    if large:
-        raise ValueError(f"too many distinct values for one-hot encoding: {large}")
+def _category_stages(rows: DataFrame, categorical: Sequence[str], most: int) -> list:
+    """Index and one-hot stages; a column with more than ``most`` values gets one more level for all the others."""
+    filled = [f"{c}_filled" for c in categorical]
+    frequent = frequent_values(rows, filled, most)
+    wide = [c for c in categorical if frequent[f"{c}_filled"] is not None]
+    narrow = [c for c in categorical if c not in wide]
+    stages: list = []
+    if narrow:
+        indexer = StringIndexer(
+            inputCols=[f"{c}_filled" for c in narrow],
+            outputCols=[f"{c}_index" for c in narrow],
+            handleInvalid="keep",
+            stringOrderType="alphabetAsc",
+        )
+        stages.append(indexer.fit(rows))
+    if wide:
+        labels = [frequent[f"{c}_filled"] for c in wide]
+        indexed = [f"{c}_index" for c in wide]
+        stages.append(
+            StringIndexerModel.from_arrays_of_labels(labels, [f"{c}_filled" for c in wide], indexed, handleInvalid="keep")
+        )
+    for stage in stages:
+        rows = stage.transform(rows)
+    # The index after the known values stands for all others. Where every value of the training rows has
+    # an index, dropping it leaves unknown ones all zeros; else it is the level that rare and unknown ones share.
+    for names, drop in ((narrow, True), (wide, False)):
+        if names:
+            inputs, outputs = [f"{c}_index" for c in names], [f"{c}_onehot" for c in names]
+            stages.append(OneHotEncoder(inputCols=inputs, outputCols=outputs, dropLast=drop).fit(rows))
+    return stages
 
 
 def feature_names(prepared: DataFrame) -> list[str]:
