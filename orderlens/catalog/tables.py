@@ -20,6 +20,7 @@ from orderlens.catalog.base import (
     rounded,
 )
 from orderlens.columns import CATEGORICAL, FEATURES, ITEM_KEY, ITEM_ORDER, NUMERIC
+from orderlens.functions.date_formats import infer_date_formats, with_parsed_dates
 from orderlens.functions.dates import date_columns, parse_timestamp
 from orderlens.operators import paging, projection
 from orderlens.operators.ordered import dense_index
@@ -414,3 +415,29 @@ def date_columns_found(spark, folder):
     )
     found = date_columns(items)
     return items.agg(F.count("*").alias("n")).select(F.explode(F.array(*[F.lit(c) for c in found])).alias("name"), "n")
+
+
+@query(
+    on_items(
+        "SELECT order_id, line_no, CASE WHEN order_id % 5 <> 4 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) END AS sold, "
+        "count(*) OVER () - count(CASE WHEN order_id % 5 = 4 THEN 1 END) OVER () AS n_read, "
+        "0::BIGINT AS n_conflicting FROM items"
+    )
+)
+def mixed_date_formats(spark, folder):
+    """A text column in four formats, one with the day first, and with texts that are no dates."""
+    items = order_items(spark, folder, ["order_id", "line_no", "ts"])
+    forms = ["yyyy-MM-dd", "dd/MM/yyyy", "MMM d, yyyy", "M-d-yyyy"]
+    text = F.lit("not yet")
+    for place, form in enumerate(forms):
+        text = F.when(F.col("order_id") % 5 == place, F.date_format("ts", form)).otherwise(text)
+    texts = items.select("order_id", "line_no", text.alias("sold"))
+    found = infer_date_formats(texts, ["sold"])
+    how = found["sold"]
+    return with_parsed_dates(texts, found).select(
+        "order_id",
+        "line_no",
+        "sold",
+        F.lit(how.texts - how.unread).cast("long").alias("n_read"),
+        F.lit(how.conflicting).cast("long").alias("n_conflicting"),
+    )
