@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from orderlens.columns import CATEGORICAL, NUMERIC, TARGET
 from orderlens.functions.expressions import EPSILON, hash_bucket, quoted
 from orderlens.operators.categories import NO_VALUE, frequent_values
+from orderlens.operators.predicates import distinct_values
 from orderlens.operators.quantiles import approximate_quantiles, exact_quantiles
 
 # Seed, split shares in percent, number of folds, features to keep.
@@ -178,6 +179,7 @@ def fit_preparation(
     best: int = BEST_FEATURES,
     percentile_steps: int = PERCENTILE_STEPS,
     max_categories: int = MAX_CATEGORIES,
+    refuse_wide: bool = False,
 ) -> PipelineModel:
     """Learn the whole preparation from the training rows; the result adds a ``features`` vector.
 
@@ -186,8 +188,9 @@ def fit_preparation(
     exact, as in ``median_impute`` and ``robust_scale``; with ``exact_quartiles=False`` they come
     from one bounded sketch pass. ``percentile_steps`` is the size of the stored percentile curve.
     Of a column with more than ``max_categories`` distinct values, by exact count, those with the most
-    rows get a column of the vector each, all others and unknown ones share one. The F scores are
-    computed only if there are more than ``best`` features to choose from.
+    rows get a column of the vector each, all others and unknown ones share one; with ``refuse_wide``
+    such a column is an error. The F scores are computed only if there are more than ``best`` features
+    to choose from.
     """
     stages = [_row_feature_stage(numeric, categorical)]
     rows = stages[0].transform(train)
@@ -201,6 +204,8 @@ def fit_preparation(
 
     encoded = []
     if categorical:
+        if refuse_wide:
+            _check_categories(rows, categorical, max_categories)
         encoders = _category_stages(rows, categorical, max_categories)
         for stage in encoders:
             rows = stage.transform(rows)
@@ -256,6 +261,14 @@ def _category_stages(rows: DataFrame, categorical: Sequence[str], most: int) ->
     return stages
 
 
+def _check_categories(df: DataFrame, categorical: Sequence[str], limit: int) -> None:
+    """Refuse columns with more than ``limit`` distinct values, by exact count."""
+    counts = distinct_values(df, categorical).groupBy("column").count()
+    large = sorted(row["column"] for row in counts.where(F.col("count") > limit).collect())
+    if large:
+        raise ValueError(f"too many distinct values for one-hot encoding: {large}")
+
+
 def feature_names(prepared: DataFrame) -> list[str]:
     """Names of the vector's entries in order, from the attributes that encoder, assembler and selector attach."""
     attributes = prepared.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})

@@ -82,3 +82,9 @@ def test_100_000_categories_train_and_score(spark):
     assert found["f1"] == ([0, 1, 0, 0, 0], [1, 0, 0])
     assert found["new"] == ([0, 0, 0, 0, 1], [0, 0, 0])
     assert found["r50000"] == ([0, 0, 0, 0, 1], [0, 1, 0])
+
+
+def test_wide_columns_are_refused_on_demand(spark):
+    rows = spark.range(30).select(F.col("id").cast("string").alias("code"), F.col("id").cast("double").alias("quantity"), F.lit(1.0).alias("sales"))
+    with pytest.raises(ValueError, match="too many distinct values"):
+        preparation.fit_preparation(rows, ["quantity"], ["code"], trailing=False, max_categories=4, refuse_wide=True)
