@@ -221,7 +221,8 @@ def feature_f_scores(spark, folder):
 )
 def select_best_features(spark, folder):
     """M6: the three best of five by F score."""
-    items = order_items(spark, folder, [*NUMERIC, "sales"])
+    # the selector passes over the rows twice and the count once: the joins run for the first pass only
+    items = files.keep_for_reuse(order_items(spark, folder, [*NUMERIC, "sales"]))
     rows = VectorAssembler(inputCols=NUMERIC, outputCol="features").transform(items)
     selector = preparation.best_features("features", "sales", "best", 3).fit(rows)
     picked = [NUMERIC[i] for i in selector.selectedFeatures]
