@@ -562,8 +562,8 @@ def penalised_line_cross_validation(spark, folder):
 @query()
 def linear_members_cross_validation(spark, folder):
     """All linear members on all prepared features, all folds from one set of products."""
-    train = _prepared(spark, folder, trailing=False).part("train")
-    return folds.linear_scores(train.select("features", "sales", "fold"), preparation.FOLDS)
+    train = files.keep_for_reuse(_prepared(spark, folder, trailing=False).part("train").select("features", "sales", "fold"))
+    return folds.linear_scores(train, preparation.FOLDS)
 
 
 @query()

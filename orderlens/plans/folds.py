@@ -10,9 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.columns import TARGET
@@ -23,11 +23,32 @@ BLOCK_ROWS = 4096
 
 def row_means(rows: DataFrame, label: str, features: str) -> np.ndarray:
     """Means of all features and of the label, summed on the executors: the origin of the products."""
-    cells = rows.select(F.posexplode(F.array_append(vector_to_array(features), F.col(label).cast("double"))))
-    found = cells.groupBy("pos").agg(F.avg("col").alias("mean")).orderBy("pos").collect()  # one row a column
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = 0.0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch)
+            total, seen = total + x.sum(0), seen + len(x)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array([seen] * len(total))], ["pos", "total", "n"])
+
+    sums = rows.select(*_columns(label, features)).mapInArrow(add_up, "pos long, total double, n long")
+    found = sums.groupBy("pos").agg((F.sum("total") / F.sum("n")).alias("mean")).orderBy("pos").collect()  # one row a column
     return np.array([r["mean"] for r in found])
 
 
+def _columns(label: str, features: str) -> list[Column]:
+    return [vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y")]
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """Features and label of the rows of a batch."""
+    flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+    return np.column_stack([flat.reshape(batch.num_rows, -1), batch.column(1).to_numpy(zero_copy_only=False)])
+
+
 def fold_products(
     rows: DataFrame, label: str = TARGET, features: str = "features", fold: str = "fold"
 ) -> tuple[dict[int, np.ndarray], np.ndarray]:
@@ -44,21 +65,24 @@ def fold_products(
     p = len(means) + 1
     upper = np.triu_indices(p)
 
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for start in range(0, len(batch), BLOCK_ROWS):
-                part = batch.iloc[start : start + BLOCK_ROWS]
-                x = np.column_stack([np.stack(part["x"].to_numpy()) - means, np.ones(len(part))])
-                for k in np.unique(part["fold"]):
-                    own = x[(part["fold"] == k).to_numpy()]
+            if not batch.num_rows:
+                continue
+            every, at = _matrix(batch), batch.column(2).to_numpy(zero_copy_only=False)
+            for start in range(0, len(every), BLOCK_ROWS):
+                part, folds = every[start : start + BLOCK_ROWS], at[start : start + BLOCK_ROWS]
+                x = np.column_stack([part - means, np.ones(len(part))])
+                for k in np.unique(folds):
+                    own = x[folds == k]
                     sums[int(k)] = sums.get(int(k), 0.0) + own.T @ own
         for k, gram in sums.items():
-            yield pd.DataFrame({"fold": k, "cell": np.arange(len(upper[0])), "value": gram[upper]})
+            columns = [pa.array(np.full(len(upper[0]), k, np.int32)), pa.array(np.arange(len(upper[0]), dtype=np.int32)), pa.array(gram[upper])]
+            yield pa.RecordBatch.from_arrays(columns, ["fold", "cell", "value"])
 
-    columns = F.array_append(vector_to_array(features), F.col(label).cast("double"))
-    partial = rows.select(F.col(fold).cast("int").alias("fold"), columns.alias("x"))
-    cells = partial.mapInPandas(add_up, "fold int, cell int, value double")
+    partial = rows.select(*_columns(label, features), F.col(fold).cast("int").alias("fold"))
+    cells = partial.mapInArrow(add_up, "fold int, cell int, value double")
     grams: dict[int, np.ndarray] = {}
     for row in cells.groupBy("fold", "cell").agg(F.sum("value").alias("value")).toLocalIterator():
         gram = grams.setdefault(row["fold"], np.zeros((p, p)))

@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from orderlens.catalog import forecasting
+from orderlens.plans import folds
 
 
 def items_of(rows):
@@ -21,3 +22,32 @@ def test_feature_selection_keeps_the_joined_rows(spark, monkeypatch):
     found = forecasting.select_best_features(spark, "").collect()
     assert len(found) == 3 and {r["n"] for r in found} == {300}
     assert set(spark.sparkContext._jsc.getPersistentRDDs()) - before
+
+
+def test_products_by_fold_make_each_vector_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        made.add(1)
+        return x
+
+    values = np.random.default_rng(6).normal(size=(200, 2))
+    rows = spark.createDataFrame([(float(a), float(b), i % 4) for i, (a, b) in enumerate(values)], "a double, sales double, fold int")
+    rows = VectorAssembler(inputCols=["c"], outputCol="features").transform(rows.withColumn("c", counted("a"))).persist()
+    rows.count()
+    first = made.value
+    grams, means = folds.fold_products(rows)
+    assert np.allclose(means, values.mean(0))
+    assert np.allclose(sum(grams.values())[:2, :2], (values - means).T @ (values - means))
+    assert made.value == first
+    plan = rows.select(*folds._columns("sales", "features"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("InMemoryRelation")[0].count("UDF(") == 1
+
+
+def test_linear_members_keep_the_prepared_rows(spark, folder, monkeypatch):
+    kept = []
+    keep = forecasting.files.keep_for_reuse
+    monkeypatch.setattr(forecasting.files, "keep_for_reuse", lambda df: kept.append(df.columns) or keep(df))
+    assert forecasting.linear_members_cross_validation(spark, folder).count() == 15
+    assert ["features", "sales", "fold"] in kept
