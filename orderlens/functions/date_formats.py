@@ -30,8 +30,16 @@ class DateFormats:
     conflicting: int  # texts that only the other order of day and month reads
 
 
+def _may_read(text: Column, fmt: str) -> Column:
+    """False only for texts that lack what the format cannot do without: parsing one in vain costs far more."""
+    if fmt == "yyyyMMdd":
+        return ~F.contains(text, F.lit("/")) & ~F.contains(text, F.lit(" ")) & ~F.contains(text, F.lit("."))
+    return F.contains(text, F.lit(next(mark for mark in ",-/. " if mark in fmt.removesuffix(_TIME))))
+
+
 def _read(column: Column, fmt: str) -> Column:
-    return F.try_to_timestamp(F.trim(column), F.lit(fmt))
+    text = F.trim(column)
+    return F.when(_may_read(text, fmt), F.try_to_timestamp(text, F.lit(fmt)))
 
 
 def infer_date_formats(
@@ -45,12 +53,10 @@ def infer_date_formats(
     """
     judged = []
     for i, name in enumerate(columns):
-        text = quoted(name)
-        reads = [_read(text, f).isNotNull() for f in PLAIN]
-        pairs = [(_read(text, m).isNotNull(), _read(text, d).isNotNull()) for m, d in TWOFOLD]
-        any_read = F.lit(False)
-        for found in [*reads, *[m | d for m, d in pairs]]:
-            any_read = any_read | found
+        text = F.col(f"text{i}")
+        reads = [F.col(f"reads{i}")[j] for j in range(len(PLAIN))]
+        pairs = [(F.col(f"reads{i}")[len(PLAIN) + 2 * j], F.col(f"reads{i}")[len(PLAIN) + 2 * j + 1]) for j in range(len(TWOFOLD))]
+        any_read = F.exists(f"reads{i}", lambda found: found)
         judged += [F.count(text).alias(f"texts{i}"), F.count_if(text.isNotNull() & ~any_read).alias(f"unread{i}")]
         judged += [F.count_if(found).alias(f"plain{i}_{j}") for j, found in enumerate(reads)]
         for j, (month, day) in enumerate(pairs):
@@ -61,7 +67,10 @@ def infer_date_formats(
             ]
     if not judged:
         return {}
-    row = df.agg(*judged).first()
+    # every text is parsed once by each format, whatever counts it
+    tried = [F.array(*[_read(quoted(name), f).isNotNull() for f in (*PLAIN, *[f for pair in TWOFOLD for f in pair])]) for name in columns]
+    texts = [quoted(name).alias(f"text{i}") for i, name in enumerate(columns)]
+    row = df.select(*texts, *[found.alias(f"reads{i}") for i, found in enumerate(tried)]).agg(*judged).first()
     result = {}
     for i, name in enumerate(columns):
         ranked = [(row[f"plain{i}_{j}"], 0, f) for j, f in enumerate(PLAIN)]

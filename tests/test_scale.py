@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from orderlens.catalog import forecasting
+from orderlens.functions import date_formats
 from orderlens.plans import folds
 
 
@@ -51,3 +52,14 @@ def test_linear_members_keep_the_prepared_rows(spark, folder, monkeypatch):
     monkeypatch.setattr(forecasting.files, "keep_for_reuse", lambda df: kept.append(df.columns) or keep(df))
     assert forecasting.linear_members_cross_validation(spark, folder).count() == 15
     assert ["features", "sales", "fold"] in kept
+
+
+def test_a_date_text_is_parsed_once_a_format(spark, monkeypatch):
+    texts = spark.createDataFrame([("2024-01-05",), ("13/02/2024",), ("Mar 3, 2024",), ("20240405",), ("no date",), (None,)], "sold string")
+    plans, agg = [], type(texts).agg
+    monkeypatch.setattr(type(texts), "agg", lambda df, *made: plans.append(agg(df, *made)) or plans[-1])
+    how = date_formats.infer_date_formats(texts, ["sold"])["sold"]
+    assert (how.texts, how.unread, how.conflicting) == (5, 1, 0)
+    plan = plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("gettimestamp(") <= len(date_formats.PLAIN) + 2 * len(date_formats.TWOFOLD)
+    assert date_formats.with_parsed_dates(texts, {"sold": how}).where("sold is not null").count() == 4
