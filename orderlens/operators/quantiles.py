@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -185,13 +187,24 @@ def _place_all(df: DataFrame, ranks: Sequence[_Rank], marks: dict[str, Sequence[
     wanted = [(c, m) for c in {r.column for r in ranks} for m in sorted(set(marks[c]))]
     if not wanted:
         return
-    counts = df.selectExpr(
-        *[f"count_if({_number(c)} < {_literal(m)}) AS l{i}" for i, (c, m) in enumerate(wanted)],
-        *[f"count_if({_number(c)} <= {_literal(m)}) AS u{i}" for i, (c, m) in enumerate(wanted)],
-    ).first()
+    by_name = {c: np.array([m for name, m in wanted if name == c]) for c in dict.fromkeys(c for c, _ in wanted)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        less, up_to = ([np.zeros(len(m), np.int64) for m in by_name.values()] for _ in range(2))
+        for batch in batches:
+            for i, own in enumerate(by_name.values()):
+                values = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+                less[i] += [np.count_nonzero(values < m) for m in own]
+                up_to[i] += [np.count_nonzero(values <= m) for m in own]
+        columns = [pa.array(np.arange(len(wanted))), pa.array(np.concatenate(less)), pa.array(np.concatenate(up_to))]
+        yield pa.RecordBatch.from_arrays(columns, ["mark", "less", "up_to"])
+
+    # in numpy: hundreds of counts are too large an aggregate for Spark to compile
+    counts = df.selectExpr(*[f"{_number(c)} AS c{i}" for i, c in enumerate(by_name)]).mapInArrow(count, "mark long, less long, up_to long")
+    found = {r["mark"]: r for r in counts.groupBy("mark").agg(F.sum("less").alias("less"), F.sum("up_to").alias("up_to")).collect()}
     counted: dict[str, list[tuple[float, int, int]]] = defaultdict(list)
-    for i, (c, m) in enumerate(wanted):
-        counted[c].append((m, counts[f"l{i}"], counts[f"u{i}"]))
+    for i, (c, m) in enumerate((c, float(m)) for c, own in by_name.items() for m in own):
+        counted[c].append((m, found[i]["less"], found[i]["up_to"]) if i in found else (m, 0, 0))
     for r in ranks:
         r.place(
             mark

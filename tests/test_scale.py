@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from orderlens.catalog import forecasting
 from orderlens.functions import date_formats
+from orderlens.operators import quantiles
 from orderlens.plans import folds
 
 
@@ -63,3 +64,14 @@ def test_a_date_text_is_parsed_once_a_format(spark, monkeypatch):
     plan = plans[0]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("gettimestamp(") <= len(date_formats.PLAIN) + 2 * len(date_formats.TWOFOLD)
     assert date_formats.with_parsed_dates(texts, {"sold": how}).where("sold is not null").count() == 4
+
+
+def test_marks_are_not_counted_by_one_aggregate_each(spark, monkeypatch):
+    values = np.random.default_rng(7).normal(size=(400, 8))
+    rows = spark.createDataFrame(values.tolist(), ", ".join(f"c{i} double" for i in range(8)))
+    asked, select = [], type(rows).selectExpr
+    monkeypatch.setattr(type(rows), "selectExpr", lambda df, *made: asked.extend(made) or select(df, *made))
+    found = quantiles.exact_quantiles(rows, rows.columns, [0.25, 0.5, 0.75], small=10)
+    for i, name in enumerate(f"c{i}" for i in range(8)):
+        assert np.allclose(found[name], np.quantile(values[:, i], [0.25, 0.5, 0.75]))
+    assert not [e for e in asked if isinstance(e, str) and "count_if" in e]
