@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +198,18 @@ def test_a_label_of_long_texts_is_learned(spark):
     labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in fine + bad], "doc_id long, toxic int")
     scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect()}
     assert min(scores[100 + i] for i in range(25)) > max(scores[i] for i in range(80))
+
+
+def test_centroids_and_cutoffs_come_from_every_learned_row(spark):
+    """The sample gives the start only: kinds of texts that it does not hold still shape the model."""
+    kinds = ["the cat sat on the mat and slept", "0xdead 0xbeef qqqq jjjj vvvv kkkk", "zyxw vuts rqpo nmlk jihg fedc"]
+    rows = [(i, f"{kinds[i % 3]} {i % 7}", "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs, centroids=1, sample_rows=1, all_samples=8)
+    weights = model.weights
+    matrix = np.concatenate([language.vectors(found, weights) for _, _, found in language.counted(pa.array([r[1] for r in rows]))])
+    want = matrix.mean(0) / np.linalg.norm(matrix.mean(0))
+    np.testing.assert_allclose(model.centroids[0], want, atol=1e-5)
+    # the cutoff at the length that all texts reach is that of 300 held-out cosines, none of which lies far below it
+    assert 0 < model.cutoffs[0, 2] <= (matrix @ model.centroids[0]).max()
+    assert language.predict(docs, model).where("rejected").count() <= 3
