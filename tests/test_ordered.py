@@ -177,3 +177,18 @@ def test_exact_quantiles_with_hot_values(spark):
 def test_approximate_quantiles(items, frame):
     got = approximate_quantiles(items, ["sales"], [0.5])["sales"][0]
     assert abs((frame["sales"] <= got).mean() - 0.5) < 2e-3
+
+
+def test_percentile_rank_counts_rows_where_they_lie(spark):
+    """Running counts over batches and partitions, several columns in one partition; no window moves the values again."""
+    values = [float(i * 7919 % 3001) for i in range(25_000)]
+    df = spark.createDataFrame([(i, v, -v if i % 3 else None, float(i % 4)) for i, v in enumerate(values)], "id long, a double, b double, c double")
+    limit = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = percentile_rank(df, ["a", "b", "c"], broadcast_values=1000, partitions=2).orderBy("id").toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
+    want = df.orderBy("id").toPandas()[["a", "b", "c"]].rank(pct=True)
+    for name in "abc":
+        np.testing.assert_allclose(got[f"{name}_percentile"], want[name], rtol=1e-12)
