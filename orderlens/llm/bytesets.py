@@ -44,11 +44,11 @@ def folded(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def runs(limits: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of documents of about ``RUN_BYTES``, or one longer document."""
+def runs(limits: np.ndarray, size: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of documents of about ``size`` bytes, or one longer document."""
     first, last = 0, len(limits) - 1
     while first < last:
-        fit = int(np.searchsorted(limits, limits[first] + RUN_BYTES, "right")) - 1
+        fit = int(np.searchsorted(limits, limits[first] + size, "right")) - 1
         end = max(first + 1, min(first + RUN_DOCS, fit))
         yield first, end
         first = end
@@ -115,14 +115,44 @@ def word_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return code * MIX + (end - start).astype(np.uint64)
 
 
+_buckets: dict[tuple[int, int], np.ndarray] = {}
+
+
+def gram_buckets(data: np.ndarray, length: int, bits: int) -> np.ndarray:
+    """The bucket of every run of ``length`` bytes along the last axis; those of one or two bytes come from a table."""
+    n = data.shape[-1] - length + 1
+    if length > 2:
+        code = data[..., :n].astype(np.uint64)
+        for k in range(1, length):
+            code <<= np.uint64(8)
+            code |= data[..., k : n + k]
+        code += np.uint64(length)
+        code *= MIX
+        code ^= code >> np.uint64(29)
+        code *= MIX
+        code >>= np.uint64(64 - bits)
+        return code.view(np.int64)
+    if (length, bits) not in _buckets:
+        _buckets[length, bits] = bucket(np.arange(1 << 8 * length, dtype=np.uint64), bits, length)
+    code = data[..., :n] if length == 1 else (data[..., :n].astype(np.uint16) << np.uint16(8)) | data[..., 1:]
+    return _buckets[length, bits].take(code)
+
+
 def hashed_counts(data: np.ndarray, limits: np.ndarray, lengths: tuple[int, ...], bits: int) -> np.ndarray:
     """Counts of hashed byte n-grams: a row for each document of the run."""
-    docs, owner = len(limits) - 1, owners(limits)
-    found = np.zeros(docs << bits, np.float32)
+    docs = len(limits) - 1
+    base, inner, cells = np.repeat(np.arange(docs) << bits, np.diff(limits)), limits[1:-1], []
     for length in lengths:
-        code, doc = gram_codes(data, owner, length)
-        found += np.bincount((doc << bits) + bucket(code, bits, length), minlength=docs << bits)
-    return found.reshape(docs, 1 << bits)
+        n = len(data) - length + 1
+        if n > 0:
+            cell = gram_buckets(data, length, bits)
+            cell += base[:n]
+            for back in range(1, length):  # runs that cross a limit count in a cell of their own
+                across = inner - back
+                cell[across[(across >= 0) & (across < n)]] = docs << bits
+            cells.append(cell)
+    found = np.bincount(np.concatenate(cells) if cells else np.zeros(0, np.int64), minlength=(docs << bits) + 1)
+    return found[: docs << bits].astype(np.float32).reshape(docs, 1 << bits)
 
 
 def unit_rows(rows: np.ndarray) -> np.ndarray:

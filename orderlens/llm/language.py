@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.bytesets import folded, hashed_counts, runs, text_bytes, unit_rows
+from orderlens.llm.bytesets import folded, gram_buckets, hashed_counts, runs, text_bytes, unit_rows
 from orderlens.llm.common import bounded_sample, pick, quoted, remainder, scored
 from orderlens.session import small_side
 
@@ -36,6 +36,8 @@ UNKNOWN = "und"
 BITS, LENGTHS = 12, (1, 2, 3)
 #: Rounds of k-means over every learned row.
 ROUNDS = 2
+#: Texts are taken in runs of about so many bytes, whose arrays stay in the cache of a core; held-out ones so many at a time.
+RUN_BYTES, HELD_ROWS = 1 << 18, 64
 #: Parts of the learned rows for held-out cosines; lengths in bytes at which these are taken; steps in which they are counted.
 FOLDS, EDGES, STEPS = 4, 1 << np.arange(2, 13), 2000
 #: A length counts if so many held-out rows of the language, and half of them, reach it: the few
@@ -60,14 +62,10 @@ class LanguageModel:
 
 
 def counted(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
-    yield from counted_bytes(*text_bytes(column))
-
-
-def counted_bytes(data: np.ndarray, limits: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    data = folded(data)
-    for first, end in runs(limits):
+    data, limits = text_bytes(column)
+    for first, end in runs(limits, RUN_BYTES):
         low = limits[first]
-        yield first, end, hashed_counts(data[low : limits[end]], limits[first : end + 1] - low, LENGTHS, BITS)
+        yield first, end, hashed_counts(folded(data[low : limits[end]]), limits[first : end + 1] - low, LENGTHS, BITS)
 
 
 def vectors(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -140,13 +138,18 @@ def centroid_round(rows: DataFrame, languages: list[str], of: np.ndarray, centre
             part = text_parts(batch.column(1))
             for first, end, found in counted(batch.column(1)):
                 x, mine = vectors(found, weights), own[first:end]
+                keys = []
                 for model in range(FOLDS + 1):
                     own_ones = (of[None, :] == mine[:, None]) & there[model]
                     near = np.where(own_ones, x @ centres[model].T, -np.inf).argmax(1)
                     used = (part[first:end] != model) & own_ones.any(1)
-                    for centre in np.unique(near[used]):
-                        key = model * many + int(centre)
-                        sums[key] = sums.get(key, 0.0) + x[used & (near == centre)].sum(0, dtype=np.float64)
+                    keys.append(np.where(used, model * many + near, -1))
+                # the rows of each centroid of each model are added up by one product
+                met = np.unique(keys)
+                met = met[met >= 0]
+                taken = sum((key[None, :] == met[:, None]) for key in keys).astype(np.float64)
+                for key, total in zip(met.tolist(), taken @ x.astype(np.float64)):
+                    sums[key] = sums.get(key, 0.0) + total
         for key, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([total.tobytes()], pa.binary())], ["centre", "total"])
 
@@ -184,6 +187,30 @@ def low_quantiles(cosines: DataFrame, share: float) -> dict[tuple[int, int], tup
     return out
 
 
+def prefix_counts(data: np.ndarray, starts: np.ndarray, reached: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length of ``EDGES``, its number and the counts of the first so many bytes of the texts that reach it.
+
+    ``reached`` tells how many of the lengths each text reaches, most first. The counts of a length are those
+    of the one before and of what its further bytes add.
+    """
+    most = EDGES[reached - 1]
+    block = np.zeros((len(starts), most[0]), np.uint8)
+    for row, start, size in zip(block, starts, most):
+        row[:size] = data[start : start + size]
+    block = folded(block.ravel()).reshape(block.shape)
+    counts = np.zeros(len(starts) << BITS, np.int64)
+    base = np.arange(len(starts))[:, None] << BITS
+    for band in range(reached[0]):
+        rows, low = int(np.count_nonzero(reached > band)), EDGES[band - 1] if band else 0
+        parts = [gram_buckets(block[:rows, max(0, low - length + 1) : EDGES[band]], length, BITS) + base[:rows] for length in LENGTHS]
+        cells = np.concatenate([part.ravel() for part in parts])
+        if 8 * len(cells) < rows << BITS:
+            np.add.at(counts, cells, 1)
+        else:
+            counts[: rows << BITS] += np.bincount(cells, minlength=rows << BITS)
+        yield band, counts[: rows << BITS].astype(np.float32).reshape(rows, 1 << BITS)
+
+
 def held_out_cutoffs(rows: DataFrame, languages: list[str], of: np.ndarray, centres: np.ndarray, weights: np.ndarray, share: float) -> np.ndarray:
     """The cosine that ``share`` of the texts do not reach, by language and length in ``EDGES``, from every row.
 
@@ -198,24 +225,20 @@ def held_out_cutoffs(rows: DataFrame, languages: list[str], of: np.ndarray, cent
             own, part = np.array([number[name] for name in batch.column(0).to_pylist()], np.int64), text_parts(batch.column(1))
             known = np.array([np.isin(own, of[there[model]]) for model in range(FOLDS)])[part, np.arange(len(own))] if len(own) else np.zeros(0, bool)
             data, limits = text_bytes(batch.column(1))
-            size = np.diff(limits)
-            place, owner = np.arange(limits[0], limits[-1]) - np.repeat(limits[:-1], size), np.repeat(np.arange(len(size)), size)
-            for band, edge in enumerate(EDGES):
-                long = np.flatnonzero(known & (size >= edge))
-                if not len(long):
-                    continue
-                taken = data[limits[0] : limits[-1]][(place < edge) & (known & (size >= edge))[owner]]
-                for first, end, found in counted_bytes(taken, np.arange(len(long) + 1) * edge):
-                    x = vectors(found, weights)
-                    for model in range(FOLDS):
-                        mine = np.flatnonzero(part[long[first:end]] == model)
-                        if not len(mine):
-                            continue
-                        near = x[mine] @ centres[model][there[model]].T
-                        nearest, cosine = of[there[model]][near.argmax(1)], near.max(1).astype(np.float64)
-                        some = cosine > 0
-                        columns = [pa.array(nearest[some]), pa.array(np.full(some.sum(), band)), pa.array(cosine[some])]
-                        yield pa.RecordBatch.from_arrays(columns, ["nearest", "band", "cosine"])
+            reached = np.where(known, np.searchsorted(EDGES, np.diff(limits), "right"), 0)
+            found = []
+            for model in range(FOLDS):
+                mine = np.flatnonzero((part == model) & (reached > 0))
+                mine = mine[np.argsort(-reached[mine], kind="stable")]
+                for first in range(0, len(mine), HELD_ROWS):
+                    some = mine[first : first + HELD_ROWS]
+                    for band, counts in prefix_counts(data, limits[some], reached[some]):
+                        near = vectors(counts, weights) @ centres[model][there[model]].T
+                        found.append((of[there[model]][near.argmax(1)], np.full(len(near), band), near.max(1).astype(np.float64)))
+            if found:
+                nearest, band, cosine = (np.concatenate(c) for c in zip(*found))
+                some = cosine > 0
+                yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (nearest, band, cosine)], ["nearest", "band", "cosine"])
 
     cosines = rows.select("lang", "text").mapInArrow(judged, "nearest long, band long, cosine double")
     found = low_quantiles(cosines, share)

@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderlens.llm import language, ppm, quality, toxicity
-from orderlens.llm.bytesets import encoded, word_codes, word_limits
+from orderlens.llm.bytesets import encoded, folded, hashed_counts, text_bytes, word_codes, word_limits
 
 
 def test_word_codes_tell_words_apart():
@@ -213,3 +214,27 @@ def test_centroids_and_cutoffs_come_from_every_learned_row(spark):
     # the cutoff at the length that all texts reach is that of 300 held-out cosines, none of which lies far below it
     assert 0 < model.cutoffs[0, 2] <= (matrix @ model.centroids[0]).max()
     assert language.predict(docs, model).where("rejected").count() <= 3
+
+
+def test_counts_of_prefixes_add_up_to_those_of_cut_texts():
+    texts = ["Ärger im Garten, " * 400, "kurz", "ab", "", "ÖÄ" * 9, "the cat sat " * 20]
+    data, limits = text_bytes(pa.array(texts, pa.string()))
+    reached = np.searchsorted(language.EDGES, np.diff(limits), "right")
+    some = np.argsort(-reached, kind="stable")[: np.count_nonzero(reached)]
+    seen = 0
+    for band, counts in language.prefix_counts(data, limits[some], reached[some]):
+        edge, rows = language.EDGES[band], [i for i in some if reached[i] > band]
+        cut = np.concatenate([data[limits[i] : limits[i] + edge] for i in rows])
+        whole = hashed_counts(folded(cut), np.arange(len(rows) + 1) * edge, language.LENGTHS, language.BITS)
+        assert np.array_equal(counts, whole)
+        seen += len(rows)
+    assert seen == reached.sum()
+
+
+def test_counting_holds_little_beside_the_texts():
+    texts = pa.array(["Der Hund und die Katze liefen weit. " * 40] * 3000, pa.string())
+    tracemalloc.start()
+    rows = sum(len(found) for _, _, found in language.counted(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 3000 and peak < 40e6
