@@ -16,7 +16,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ from orderlens.session import cut_lineage
 
 #: Encodings in which quotes, commas and line ends are single bytes, and that Spark decodes.
 BYTEWISE = ("UTF-8", "ISO-8859-1", "US-ASCII")
+_PIECES = ["record", "file", "start", "origin", "heads"]
 
 
 @dataclass(frozen=True)
@@ -85,55 +88,67 @@ def _opened(ranges: DataFrame) -> DataFrame:
     )
 
 
-def _assembled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records of the byte ranges of one task, in order; pieces of records that cross a boundary are marked.
 
     Holds one batch and the lines of one unfinished record. ``origin`` names the range in which a
-    crossing record began, null for a whole record.
+    crossing record began, null for a whole record; only crossing ones tell their file and range.
     """
     key: tuple[str, int] | None = None
     pending: list[str] = []  # lines of the record that is not finished yet
     inside = fresh = False
     origin: int | None = None
 
-    def rows(texts: list[str], origin: int | None, first: bool) -> pd.DataFrame:
+    def crossing(text: str, origin: int, first: bool) -> pa.RecordBatch:
+        columns = [pa.array([text], pa.string()), pa.array([key[0]], pa.string()), pa.array([key[1]]), pa.array([origin]), pa.array([first])]
+        return pa.RecordBatch.from_arrays(columns, _PIECES)
+
+    def whole(texts: pa.Array, first: bool) -> pa.RecordBatch:
         heads = np.zeros(len(texts), dtype=bool)
         heads[:1] = first
-        return pd.DataFrame({
-            "record": texts, "file": key[0], "start": key[1],
-            "origin": pd.array([origin] * len(texts), dtype="Int64"), "heads": heads,
-        })
+        n = len(texts)
+        return pa.RecordBatch.from_arrays([texts, pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(heads)], _PIECES)
 
-    def left_over() -> Iterator[pd.DataFrame]:
+    def left_over() -> Iterator[pa.RecordBatch]:
         if pending:  # goes on in the next range, or the quotes of the file never close
-            yield rows(["\n".join(pending)], key[1] if origin is None else origin, fresh and origin is None)
+            yield crossing("\n".join(pending), key[1] if origin is None else origin, fresh and origin is None)
 
     for batch in batches:
-        bounds = np.flatnonzero((batch["start"].diff().ne(0) | batch["file"].ne(batch["file"].shift())).to_numpy())
+        if not batch.num_rows:
+            continue
+        value, file, start, odd, begins_inside, began, leads = batch.columns
+        place = start.to_numpy()
+        changed = (np.diff(place) != 0) | pc.not_equal(file[1:], file[:-1]).to_numpy(zero_copy_only=False)
+        bounds = [0, *(np.flatnonzero(changed) + 1).tolist()]
+        odd = odd.to_numpy(zero_copy_only=False)
         for low, high in zip(bounds, [*bounds[1:], len(batch)]):
-            part = batch.iloc[low:high]
-            head = part.iloc[0]
-            if (head["file"], int(head["start"])) != key:
+            if (file[low].as_py(), int(place[low])) != key:
                 yield from left_over()
-                key, pending = (head["file"], int(head["start"])), []
-                inside, fresh = bool(head["inside"]), bool(head["leads"])
-                origin = int(head["origin"]) if inside else None
+                key, pending = (file[low].as_py(), int(place[low])), []
+                inside, fresh = begins_inside[low].as_py(), leads[low].as_py()
+                origin = began[low].as_py() if inside else None
             # after each line: inside quotes or not
-            state = (np.cumsum(part["odd"].to_numpy()) + inside) % 2
-            ends = np.flatnonzero(state == 0)
-            lines, texts, at = part["value"].tolist(), [], 0
-            for end in ends:
-                record = "\n".join([*pending, *lines[at : end + 1]]) if pending or end > at else lines[at]
-                pending, at = [], end + 1
+            state = (np.cumsum(odd[low:high]) + inside) % 2
+            ends = low + np.flatnonzero(state == 0) + 1
+            at = low
+            if len(ends) and (pending or origin is not None):  # the record that began before
+                pending.extend(value[at : ends[0]].to_pylist())
+                record, pending, at, ends = "\n".join(pending), [], int(ends[0]), ends[1:]
                 if origin is not None:
-                    yield rows([record], origin, False)
+                    yield crossing(record, origin, False)
                     origin = None
                 elif record.rstrip("\r"):
-                    texts.append(record)
-            if texts:
-                yield rows(texts, None, fresh)
-                fresh = False
-            pending.extend(lines[at:])
+                    yield whole(pa.array([record], pa.string()), fresh)
+                    fresh = False
+            if len(ends):
+                limits = pa.array(np.concatenate([[at], ends]), pa.int32())
+                texts = pc.binary_join(pa.ListArray.from_arrays(limits, value), "\n")
+                texts = texts.filter(pc.not_equal(pc.utf8_rtrim(texts, "\r"), ""))
+                if len(texts):
+                    yield whole(texts, fresh)
+                    fresh = False
+                at = int(ends[-1])
+            pending.extend(value[at:high].to_pylist())
             inside = bool(state[-1])
     yield from left_over()
 
@@ -158,7 +173,9 @@ def records(spark: SparkSession, path: str, ranges: DataFrame, encoding: str) ->
         F.coalesce("origin", F.lit(0)).alias("origin"),
         "leads",
     )
-    pieces = lines.mapInPandas(_assembled, "record string, file string, start long, origin long, heads boolean")
+    # both kinds of pieces, and every later pass, take them from one run over the lines
+    pieces = lines.mapInArrow(_assembled, "record string, file string, start long, origin long, heads boolean")
+    pieces = pieces.persist(StorageLevel.MEMORY_AND_DISK)
     whole = pieces.where(F.col("origin").isNull())
     crossing = pieces.where(F.col("origin").isNotNull()).groupBy("file", "origin").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "record"))), lambda x: x["record"]), "\n").alias("record"),
@@ -170,17 +187,10 @@ def records(spark: SparkSession, path: str, ranges: DataFrame, encoding: str) ->
 
 def well_formed(record: Column, separator: str = ",") -> Column:
     """Every quoted text of a record fills its field: no quote stands inside an unquoted value."""
-    pieces = F.split(F.replace(record, F.lit('""'), F.lit("")), '"')
-    last = F.size(pieces) - 1
-    outside = F.transform(
-        pieces,
-        lambda piece, i: (i % 2 == 1)
-        | (
-            ((i == 0) | F.startswith(piece, F.lit(separator)) | ((i == last) & (piece == "")))
-            & ((i == last) | F.endswith(piece, F.lit(separator)) | ((i == 0) & (piece == "")))
-        ),
-    )
-    return (last % 2 == 0) & F.forall(outside, lambda ok: ok)
+    # a match takes two quotes with none between, so that no quote is left only if the first is paired with the second and so on
+    single = F.replace(record, F.lit('""'), F.lit(""))
+    rest = F.regexp_replace(single, rf'(\A|\Q{separator}\E)"[^"]*+"(?=\Q{separator}\E|\z)', "$1")
+    return ~F.contains(rest, F.lit('"'))
 
 
 def parsed(records: DataFrame, names: list[str]) -> DataFrame:

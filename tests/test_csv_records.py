@@ -4,6 +4,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from orderlens.sources import csv_records, files
 
@@ -107,3 +108,33 @@ def test_empty_files(spark, tmp_path):
     path = write(tmp_path, "e.csv", "id,note\n")
     assert files.read_csv(spark, path).columns == ["id", "note"]
     assert files.read_csv(spark, path).isEmpty()
+
+
+def test_well_formed_records(spark):
+    texts = [
+        "", "a,b", '"a"', '"a","b\n,"', 'x,"a",y', '"",a', 'a,""', '"a""b",c', '"""a"""', '"a,\nb"\n', '"', 'a"', '"a"b', 'a"b"', 'x"a,"b",c',
+        '"a,"b', 'a,b"c"d,e', '"a" ,b', ',"a"', '"a",', '"a","b', '"a"x"b"', '","', '",",","', 'a"",b',
+    ]
+
+    def expected(text):
+        pieces = text.replace('""', "").split('"')
+        last = len(pieces) - 1
+        outside = [
+            (i == 0 or piece.startswith(",") or i == last and not piece) and (i == last or piece.endswith(",") or i == 0 and not piece)
+            for i, piece in enumerate(pieces)
+            if i % 2 == 0
+        ]
+        return last % 2 == 0 and all(outside)
+
+    pick = random.Random(4)
+    texts += ["".join(pick.choice('a,""\n') for _ in range(pick.randrange(9))) for _ in range(600)]
+    rows = spark.createDataFrame([(t,) for t in texts], "record string")
+    found = rows.select("record", csv_records.well_formed(F.col("record")).alias("ok")).collect()
+    assert [(r.record, r.ok) for r in found] == [(t, expected(t)) for t in texts]
+
+
+def test_lines_are_put_together_once(spark, tmp_path, small_ranges):
+    path = write(tmp_path, "a.csv", text_of([["id", "note", "v"], *random_rows(50, 7)]))
+    df = files.read_csv(spark, path)
+    before = df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.count() == 50 and "InMemoryRelation" in before.split("MapInArrow")[0]
