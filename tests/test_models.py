@@ -9,7 +9,7 @@ from orderlens.columns import CATEGORICAL, ITEM_KEY, ITEM_ORDER, NUMERIC, TARGET
 from orderlens.operators import evaluation, scoring
 from orderlens.operators.predicates import all_of
 from orderlens.plans import bundle as bundles
-from orderlens.plans import forecast, models, preparation
+from orderlens.plans import folds, forecast, models, preparation
 from orderlens.sources.sinks import training_metadata
 from orderlens.streaming import scorer
 
@@ -71,6 +71,54 @@ def test_evidence_penalty_maximises_the_evidence(toy):
     assert evidence(penalty) >= max(evidence(penalty * f) for f in (0.8, 0.9, 1.1, 1.25)) - 1e-9
 
 
+def dependent_columns(rows, largest):
+    """Features of which several add up to others, one with a single huge value, and a label, drawn with a fixed seed."""
+    random = np.random.default_rng(11)
+    group, x = random.integers(0, 6, rows), random.normal(size=rows)
+    ratio = random.normal(size=rows)
+    ratio[7] = largest
+    features = np.column_stack([np.eye(6)[group], x, (x - 0.3) / 1.7, x * x, ratio])
+    return features, 5 * x + 0.4 * group + random.normal(scale=0.6, size=rows)
+
+
+def evidence_from_rows(x, y, rounds=300):
+    """The same updates from the singular values of the rows, where rounding disturbs the dependent directions far less."""
+    x, y = x - x.mean(0), y - y.mean()
+    left, roots, _ = np.linalg.svd(x, full_matrices=False)
+    left, roots = left[:, roots > 1e-9], roots[roots > 1e-9]
+    fit, noise, weight = left.T @ y, 1 / y.var(), 1.0
+    for _ in range(rounds):
+        kept = roots**2 / (roots**2 + weight / noise)
+        error = ((y - left @ (kept * fit)) ** 2).sum()
+        effective, size = kept.sum(), ((kept * fit / roots) ** 2).sum()
+        weight, noise = (effective + 2e-6) / (size + 2e-6), (len(y) - effective + 2e-6) / (error + 2e-6)
+    return weight / noise
+
+
+@pytest.mark.parametrize("largest", [3.0, 1e6, 1e8, 1e10])
+@pytest.mark.parametrize("copies", [1, 60])
+def test_evidence_penalty_of_dependent_columns_with_a_huge_value(largest, copies):
+    """What rounding leaves of dependent columns once grew until the penalty was NaN, which no estimator takes."""
+    x, y = dependent_columns(400, largest)
+    rows = np.column_stack([x, y, np.ones(len(y))])
+    rounding = np.random.default_rng(copies).uniform(-1e-14, 1e-14, (rows.shape[1],) * 2)
+    gram = copies * (rows.T @ rows) * (1 + rounding + rounding.T)
+    expected = evidence_from_rows(np.tile(x, (copies, 1)), np.tile(y, copies))
+    assert models.evidence_penalty(gram, tolerance=1e-9) == pytest.approx(expected, rel=1e-4)
+    assert np.isfinite(folds.evidence_weights(gram)).all()
+
+
+def test_linear_members_fit_dependent_columns_with_a_huge_value(spark):
+    """60 copies of rows on which the fit ended failed: regParam given invalid value NaN."""
+    x, y = dependent_columns(400, 1e8)
+    names = [f"f{i}" for i in range(x.shape[1])]
+    rows = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)], ", ".join(f"{c} double" for c in [*names, TARGET]))
+    train = VectorAssembler(inputCols=names, outputCol="features").transform(rows.crossJoin(spark.range(60))).persist()
+    fitted = PipelineModel(models.fit_models(train, models.MODEL_NAMES[3:])).transform(train)
+    for name in models.MODEL_NAMES[3:]:
+        assert fitted.select(evaluation.r_squared(F.col(TARGET), F.col(name)).alias("r2")).first()["r2"] > 0.95
+
+
 def test_split_and_fold_shares(items):
     rows = preparation.with_fold(preparation.with_split(items, ITEM_KEY), ITEM_KEY)
     shares = {r["split"]: r["count"] / items.count() for r in rows.groupBy("split").count().collect()}
