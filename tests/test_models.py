@@ -108,17 +108,29 @@ def test_evidence_penalty_of_dependent_columns_with_a_huge_value(largest, copies
     assert np.isfinite(folds.evidence_weights(gram)).all()
 
 
-def test_linear_members_fit_dependent_columns_with_a_huge_value(spark):
+@pytest.fixture(scope="module")
+def dependent(spark):
     """60 copies of rows on which the fit ended failed: regParam given invalid value NaN."""
     x, y = dependent_columns(400, 1e8)
     names = [f"f{i}" for i in range(x.shape[1])]
     rows = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)], ", ".join(f"{c} double" for c in [*names, TARGET]))
-    train = VectorAssembler(inputCols=names, outputCol="features").transform(rows.crossJoin(spark.range(60))).persist()
-    fitted = PipelineModel(models.fit_models(train, models.MODEL_NAMES[3:])).transform(train)
+    return VectorAssembler(inputCols=names, outputCol="features").transform(rows.crossJoin(spark.range(60))).persist()
+
+
+def test_linear_members_fit_dependent_columns_with_a_huge_value(dependent):
+    fitted = PipelineModel(models.fit_models(dependent, models.MODEL_NAMES[3:])).transform(dependent)
     for name in models.MODEL_NAMES[3:]:
         assert fitted.select(evaluation.r_squared(F.col(TARGET), F.col(name)).alias("r2")).first()["r2"] > 0.95
 
 
+def test_saved_members_of_dependent_columns_predict_the_same(spark, dependent, tmp_path):
+    pipeline = PipelineModel(models.fit_models(dependent, ["bayesian_ridge"]))
+    bundles.save_bundle(bundles.Bundle(pipeline), str(tmp_path / "b"))
+    first = pipeline.transform(dependent).withColumnRenamed("bayesian_ridge", "before")
+    both = bundles.load_bundle(spark, str(tmp_path / "b")).pipeline.transform(first)
+    assert both.agg(F.max(F.abs(F.col("before") - F.col("bayesian_ridge")))).first()[0] == 0
+
+
 def test_split_and_fold_shares(items):
     rows = preparation.with_fold(preparation.with_split(items, ITEM_KEY), ITEM_KEY)
     shares = {r["split"]: r["count"] / items.count() for r in rows.groupBy("split").count().collect()}
